@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, urls
+from . import chat, langid, mixing, urls
 from .common import table
+from .decontaminate import find_contamination
 from .exact_substring import remove_repeats
+from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 
 #: The rules of the contract, as (verdict, host, path).
@@ -40,5 +42,18 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_substring_dedup, op2_chat_formatting, op3_minhash_near_dup, op4_url_filter, op7_source_mixing)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_deleted", "n_blocks", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_substring_dedup, op2_chat_formatting, op3_minhash_near_dup, op4_url_filter, op7_source_mixing, op8_decontamination, op9_language_id, op10_line_dedup)}
 ORACLES = {"op2_chat_formatting": chat.ORACLE, "op4_url_filter": urls.ORACLE, "op7_source_mixing": mixing.ORACLE}
