@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, urls
+from . import chat, langid, media, mixing, toxicity, urls
 from .common import table
 from .decontaminate import find_contamination
 from .exact_substring import remove_repeats
@@ -38,6 +38,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.read_media(media.write_media(table(spark, sf_dir, "documents")), tensors=False))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -55,5 +64,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_deleted", "n_blocks", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_substring_dedup, op2_chat_formatting, op3_minhash_near_dup, op4_url_filter, op7_source_mixing, op8_decontamination, op9_language_id, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_substring_dedup, op2_chat_formatting, op3_minhash_near_dup, op4_url_filter, op5_progressive_jpeg, op6_toxicity, op7_source_mixing, op8_decontamination, op9_language_id, op10_line_dedup)}
 ORACLES = {"op2_chat_formatting": chat.ORACLE, "op4_url_filter": urls.ORACLE, "op7_source_mixing": mixing.ORACLE}
