@@ -31,7 +31,7 @@ from .common import NO_ID, mix, pack, unpack
 from .suffix_array import window_classes
 
 #: Documents are hashed in batches of about so many bytes, which bounds the temporary arrays.
-BATCH = 1 << 21
+BATCH = 1 << 20
 #: Candidate strings of about so many bytes share one suffix array.
 SORTED_AT_ONCE = 1 << 16
 
@@ -163,7 +163,7 @@ def judge(hashes: np.ndarray, spans: list[bytes], left: np.ndarray, first_doc: n
     return found
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 for each row of `docs`."""
     if not 8 <= gram <= width:
         raise ValueError("8 <= gram <= width is needed")
