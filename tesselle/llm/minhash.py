@@ -5,10 +5,11 @@ the slot that the permutation names. A text stops as soon as all its slots hold
 which for most texts is after one or two steps. Slots of one text are correlated so that their mean varies less than
 that of independent hashes.
 
-Candidates come from bands of slots. Texts with equal shingle sets form one class and take part once. A bucket links its
-members to a hub first, so that large groups of near copies cost one pair each; what these verified links leave
-unconnected is then compared pair by pair, with no bound on a bucket. All links are confirmed on full sets; union-find
-and star rounds make the groups. With 16 bands of 4 slots a pair at similarity 0.85 is missed with probability 8e-6,
+Candidates come from bands of slots. Texts with equal shingle sets form one class and take part once. Each member of a
+bucket is compared with the bucket's hub on full sets, so that a large group of near copies costs one pair each. Members
+that aren't linked to the hub are then compared with all others that have the same hub, inside a task and in blocks, by
+what either set lost and gained against the hub: that is exact, needs no pair as a row, and has no bound on a bucket.
+Union-find and star rounds make the groups. With 16 bands of 4 slots a pair at similarity 0.85 is missed with probability 8e-6,
 and pairs with fewer than `least_equal` equal slots of 64 (6 standard deviations below 0.85) are not verified.
 """
 
@@ -28,6 +29,7 @@ from .components import components
 #: Members of a bucket that choose a hub together; larger buckets are split by a hash of the id, and the hubs of the parts meet.
 PART = 4096
 BATCH = 200_000
+MARK = np.uint64(1 << 63)
 NEVER = np.uint64((1 << 64) - 1)
 
 
@@ -86,72 +88,121 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, text_
     return rows_.mapInPandas(run, "doc_id long, n_shingles long, set1 long, set2 long, slots binary, keys array<long>")
 
 
-def hubs(frame: pd.DataFrame) -> pd.DataFrame:
-    """The member nearest to the most frequent value of each slot, as partner of all members."""
+def nearest(frame: pd.DataFrame) -> pd.DataFrame:
+    """The member nearest to the most frequent value of each slot."""
     slots = np.stack([np.frombuffer(x, np.uint16) for x in frame["slots"]])
     agreed = np.zeros(len(frame), np.int64)
     for column in slots.T:
         values, counts = np.unique(column, return_counts=True)
         agreed += column == values[counts.argmax()]
-    hub = int(np.lexsort([frame["rep"].to_numpy(), -agreed])[0])
-    return frame[["band", "key", "rep", "slots"]].assign(hub=frame["rep"].iat[hub])
+    best = int(np.lexsort([frame["rep"].to_numpy(), -agreed])[0])
+    return frame.iloc[[best]][["band", "key", "rep", "slots"]]
 
 
-def first_pairs(bucket: DataFrame, small: int = 8) -> DataFrame:
-    """Pairs (a, b) of each member and a hub of its bucket."""
+def first_pairs(classes: DataFrame, small: int = 8) -> DataFrame:
+    """Pairs (a, b) of each member and the hub of its bucket: the least id in small buckets, else the nearest to all."""
+    bucket = classes.select("rep", F.posexplode("keys").alias("band", "key"))
     size = bucket.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
-    few = bucket.select("band", "key", "rep").join(size.filter(f"n <= {small}"), ["band", "key"]).select("rep", "hub")
-    many = bucket.join(size.filter(f"n > {small}").drop("hub"), ["band", "key"])
+    member = checkpoint(bucket.join(size, ["band", "key"]))
+    many = member.filter(f"n > {small}").drop("hub").join(classes.select("rep", "slots"), "rep")
     part = F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / PART)).cast("int")
-    shape = "band int, key long, rep long, slots binary, hub long"
-    inner = checkpoint(many.withColumn("part", part).groupBy("band", "key", "part").applyInPandas(hubs, shape))
-    outer = inner.filter("rep = hub").groupBy("band", "key").applyInPandas(hubs, shape)
-    pairs = few.union(inner.select("rep", "hub")).union(outer.select("rep", "hub")).filter("rep <> hub")
-    return pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    shape = "band int, key long, rep long, slots binary"
+    hub = many.withColumn("part", part).groupBy("band", "key", "part").applyInPandas(nearest, shape)
+    hub = hub.groupBy("band", "key").applyInPandas(nearest, shape).select("band", "key", F.col("rep").alias("nearest"))
+    pairs = member.join(hub, ["band", "key"], "left").select(F.col("rep").alias("a"), F.coalesce("nearest", "hub").alias("b"))
+    return pairs.filter("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union, as links (u, v)."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked (100 * intersection >= percent * union), and how a's set differs from the hub's: n (the hub's size),
+    n_lost, n_new and diff: the places of lost shingles in the hub's order, then the new shingles, marked in bit 63."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            links, last, there = [], None, np.empty(0, np.uint64)
+            out, last, there = [], None, np.empty(0, np.uint64)
             for a, b, own, other in zip(frame["a"], frame["b"], frame["own"], frame["other"], strict=True):
                 if b != last:
                     last, there = b, unpack(other, True)
                 here = unpack(own, True)
-                if 100 * min(len(here), len(there)) >= percent * max(len(here), len(there)):
-                    at = np.minimum(np.searchsorted(there, here), len(there) - 1)
-                    common = int((there[at] == here).sum())
-                    if 100 * common >= percent * (len(here) + len(there) - common):
-                        links.append((a, b))
-            yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+                at = np.minimum(np.searchsorted(there, here), len(there) - 1)
+                same = there[at] == here
+                common = int(same.sum())
+                lost = np.ones(len(there), bool)
+                lost[at[same]] = False
+                diff = np.concatenate([np.flatnonzero(lost).astype(np.uint64), here[~same] | MARK])
+                out.append((a, b, 100 * common >= percent * (len(here) + len(there) - common), len(there), len(there) - common, len(here) - common, pack(diff, True)))
+            yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "n_lost", "n_new", "diff"])
 
     own = sets.select(F.col("rep").alias("a"), F.col("set").alias("own"))
     other = sets.select(F.col("rep").alias("b"), F.col("set").alias("other"))
-    return pairs.join(own, "a").join(other, "b").mapInPandas(run, "u long, v long")
-
-
-def left_over(bucket: DataFrame, known: DataFrame, tested: DataFrame, least_equal: int) -> DataFrame:
-    """Untested pairs (a, b) that share a bucket, but no component yet, and agree in at least so many slots."""
-    at = bucket.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed = at.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band", "key")
-    at = checkpoint(at.join(mixed, ["band", "key"]).select("band", "key", "rep", "c"))
-    main = at.groupBy("band", "key", "c").count().groupBy("band", "key").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("main"))
-    at = at.join(main, ["band", "key"])
-    x = at.filter("c <> main").select("band", "key", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    y = at.select("band", "key", F.col("rep").alias("y"), F.col("c").alias("cy"), F.col("main").alias("m"))
-    pairs = x.join(y, ["band", "key"]).filter("cx <> cy and (cy = m or x < y)")
-    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-
-    def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            equal = [int((np.frombuffer(p, np.uint16) == np.frombuffer(q, np.uint16)).sum()) for p, q in zip(frame["p"], frame["q"], strict=True)]
-            yield frame.loc[np.array(equal, np.int64) >= least_equal, ["a", "b"]]
+    return pairs.join(own, "a").join(other, "b").mapInPandas(run, "a long, b long, linked boolean, n int, n_lost int, n_new int, diff binary")
+
 
-    slots = bucket.filter("band = 0").select("rep", "slots")
-    pairs = pairs.join(slots.select(F.col("rep").alias("a"), F.col("slots").alias("p")), "a").join(slots.select(F.col("rep").alias("b"), F.col("slots").alias("q")), "b")
-    return pairs.mapInPandas(close, "a long, b long")
+def family(frame: pd.DataFrame, percent: int, least_equal: int) -> pd.DataFrame:
+    """Links (u, v) of members that aren't linked to their hub with any others, from their differences to the hub.
+
+    With n shingles in the hub, two members share n less what either lost, plus what both lost and both gained. Members
+    that are connected already are not compared again.
+    """
+    left, right = frame[frame["asks"]], frame[~frame["asks"]]
+    reps = right["a"].to_numpy(np.int64)
+    slots = np.stack([np.frombuffer(x, np.uint16) for x in right["slots"]])
+    lost, new, n = right["n_lost"].to_numpy(np.int64), right["n_new"].to_numpy(np.int64), int(right["n"].iat[0])
+    diffs = [unpack(x, True) for x in right["diff"]]
+    flat = np.concatenate(diffs)
+    holder = np.repeat(np.arange(len(diffs)), [len(x) for x in diffs])
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], holder[order]
+    parent = {int(frame["b"].iat[0]): int(frame["b"].iat[0])}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    hub = int(frame["b"].iat[0])
+    for x in reps[right["linked"].to_numpy(bool)].tolist():
+        parent[x] = hub
+    links = []
+    for rep, own, own_lost, own_new, blob in zip(left["a"].tolist(), left["slots"], left["n_lost"].tolist(), left["n_new"].tolist(), left["diff"], strict=True):
+        near = np.flatnonzero((slots == np.frombuffer(own, np.uint16)).sum(axis=1) >= least_equal)
+        if len(near) <= 1:
+            continue
+        diff = unpack(blob, True)
+        if len(near) <= 32:
+            both = np.array([np.isin(diffs[k], diff, assume_unique=True).sum() for k in near.tolist()], np.int64)
+        else:
+            lo, hi = np.searchsorted(flat, diff), np.searchsorted(flat, diff, side="right")
+            total = np.zeros(len(reps), np.int64)
+            for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+                total[holder[x:y]] += 1
+            both = total[near]
+        common = n - own_lost - lost[near] + both
+        union = 2 * n - own_lost - lost[near] + own_new + new[near] - common
+        for other in reps[near[100 * common >= percent * union]].tolist():
+            p, q = root(rep), root(other)
+            if p != q:
+                parent[p] = q
+                links.append((rep, other))
+    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+
+def families(pairs: DataFrame, classes: DataFrame, percent: int, least_equal: int) -> DataFrame:
+    """The links within each hub's members that the links to the hub leave out, in blocks of PART by PART members."""
+    open_ = pairs.groupBy("b").agg(F.count("*").alias("members"), F.min("linked").alias("all")).filter("members > 1 and not all")
+    rows = pairs.join(open_.select("b", F.ceil(F.col("members") / PART).cast("int").alias("parts")), "b").join(classes.select(F.col("rep").alias("a"), "slots"), "a")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("a", F.lit(5)), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    asks = rows.filter("not linked").select("*", other).select(F.col("part").alias("x"), F.col("other").alias("y"), *rows.columns, F.lit(True).alias("asks"))
+    told = rows.select("*", other).select(F.col("other").alias("x"), F.col("part").alias("y"), *rows.columns, F.lit(False).alias("asks"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["asks"].all() or not frame["asks"].any():
+            return pd.DataFrame(columns=["u", "v"], dtype="int64")
+        return family(frame, percent, least_equal)
+
+    return asks.union(told).groupBy("b", "x", "y").applyInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, least_equal: int = 36, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,10 +215,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sketched = checkpoint(sketch(docs, size, bands, rows, id_col, text_col))
     named = sketched.filter("n_shingles > 0 and doc_id is not null")
     classes = checkpoint(named.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.min_by("slots", "doc_id").alias("slots"), F.min_by("keys", "doc_id").alias("keys")))
-    bucket = classes.select("rep", "slots", F.posexplode("keys").alias("band", "key"))
-    pairs = checkpoint(first_pairs(bucket))
-    single = bucket.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
-    needed = bucket.join(single, ["band", "key"]).select("rep").distinct()
+    pairs = checkpoint(first_pairs(classes))
+    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -181,9 +230,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     wanted = classes.select("rep", "set1", "set2").join(needed, "rep")
     sets = checkpoint(texts.join(wanted, "rep").mapInPandas(gather, "rep long, set binary").dropDuplicates(["rep"]))
-    links = checkpoint(verified(pairs, sets, percent))
-    more = checkpoint(left_over(bucket, components(links), pairs, least_equal))
-    links = links.union(verified(more, sets, percent))
+    against = checkpoint(compared(pairs, sets, percent))
+    links = against.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).union(families(against, classes, percent, least_equal))
     label = components(links).withColumnRenamed("node", "rep")
     label = classes.select("set1", "set2", "rep").join(label, "rep", "left")
     found = sketched.join(label, ["set1", "set2"], "left")
