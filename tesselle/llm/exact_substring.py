@@ -70,7 +70,7 @@ class Runs:
         kept = anchor[edge] >= 0
         self.first, self.last = edge[kept], last[kept]
         self.anchor = anchor[self.first]
-        self.hash = grams[self.anchor]
+        self.hash = mix(~grams[self.anchor])  # least hashes are small; these spread evenly
         self.text = np.searchsorted(self.ends, self.first, side="right")
 
 
@@ -117,9 +117,40 @@ def common_lengths(heads: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return best
 
 
-def judge(hashes: np.ndarray, spans: list[bytes], left: np.ndarray, first_doc: np.ndarray, width: int, gram: int) -> list[tuple[int, int, int]]:
-    """(span number, offset, document) where a window also starts in a document before its span's own first one."""
+def judge(hashes: np.ndarray, spans: list[bytes], left: np.ndarray, first_doc: np.ndarray, width: int, gram: int) -> dict[int, list[tuple[int, int, int]]]:
+    """For spans with windows that also start in a document before the span's own first one: runs of windows as (offset
+    of the first, number, document).
+
+    The windows of an anchor are told apart by more of their bytes before they are sorted: those that start well before
+    the anchor by the bytes ahead of it, the others by the bytes that follow it. Spans with a common anchor thus part
+    into small groups, unless they really have windows in common.
+    """
     longest = width - gram
+    half = longest // 2
+    owner: list[int] = []
+    base: list[int] = []
+    early: list[bool] = []
+    parts: list[bytes] = []
+    for k, (head, span, at) in enumerate(zip(hashes.tolist(), spans, left.tolist(), strict=True)):
+        cut = max(0, at - half + 1)
+        if at >= half:
+            owner.append(k)
+            base.append(0)
+            early.append(True)
+            parts.append(b"<" + head.to_bytes(8) + span[at - half : at])
+        if len(span) - cut >= width:
+            owner.append(k)
+            base.append(cut)
+            early.append(False)
+            parts.append(b">" + head.to_bytes(8) + span[at + gram : at + width - half + 1])
+    heads = np.array([xxhash.xxh3_64_intdigest(x) for x in parts], np.uint64)
+    _, group, counts = np.unique(heads, return_inverse=True, return_counts=True)
+    pick = np.flatnonzero(counts[group] > 1)
+    if not len(pick):
+        return {}
+    hashes, owner_, base_ = heads[pick], np.array(owner)[pick], np.array(base)[pick]
+    left = left[owner_] - base_
+    spans = [spans[k][: at - half + width] if early[j] else spans[k][lo:] for j, k, lo, at in zip(pick.tolist(), owner_.tolist(), base_.tolist(), left.tolist(), strict=True)]
     lengths = np.array([len(x) for x in spans], np.int64)
     flat = np.frombuffer(bytes(width) + b"".join(spans) + bytes(width), np.uint8)
     anchor = np.concatenate([[0], np.cumsum(lengths)])[:-1] + width + left
@@ -134,18 +165,25 @@ def judge(hashes: np.ndarray, spans: list[bytes], left: np.ndarray, first_doc: n
     for k in np.flatnonzero(after + before >= width).tolist():
         lo = int(left[k] - before[k])
         strings.setdefault((int(hashes[k]), spans[k][lo : int(left[k] + after[k])]), []).append((k, lo))
-    found: list[tuple[int, int, int]] = []
+    first_of = first_doc[owner_]
+    found: dict[int, list[tuple[int, int, int]]] = {}
     texts: list[bytes] = []
     owners: list[list[tuple[int, int]]] = []
 
     def flush() -> None:
         number, offset, kind = window_classes(texts, width)
         if len(kind):
-            docs = np.array([min(first_doc[k] for k, _ in x) for x in owners], np.int64)
+            docs = np.array([min(first_of[k] for k, _ in x) for x in owners], np.int64)
             best = np.full(int(kind.max()) + 1, NO_ID, np.int64)
             np.minimum.at(best, kind, docs[number])
-            for t, o, doc in zip(number.tolist(), offset.tolist(), best[kind].tolist(), strict=True):
-                found.extend((k, lo + o, doc) for k, lo in owners[t] if doc < first_doc[k])
+            order = np.lexsort([offset, number])
+            number, offset, doc = number[order], offset[order], best[kind[order]]
+            edge = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (doc[1:] != doc[:-1])]))
+            count = np.diff(np.concatenate([edge, [len(doc)]]))
+            for t, o, n, d in zip(number[edge].tolist(), offset[edge].tolist(), count.tolist(), doc[edge].tolist(), strict=True):
+                for k, lo in owners[t]:
+                    if d < first_of[k]:
+                        found.setdefault(int(owner_[k]), []).append((int(base_[k]) + lo + o, n, d))
         texts.clear()
         owners.clear()
 
@@ -245,20 +283,19 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_byte
         heads, lefts = hashes[one], left[one]
         keys, counts = np.unique(heads, return_counts=True)
         many = np.flatnonzero(counts[np.searchsorted(keys, heads)] > 1)  # an anchor's only span has nothing to be sorted with
-        earlier: dict[int, list[tuple[int, int]]] = {}
+        earlier: dict[int, list[tuple[int, int, int]]] = {}
         if len(many):
-            for s, offset, doc in judge(heads[many], [texts[j] for j in many], lefts[many], first_doc[many], width, gram):
-                earlier.setdefault(int(many[s]), []).append((offset, doc))
+            judged = judge(heads[many], [texts[j] for j in many], lefts[many], first_doc[many], width, gram)
+            earlier = {int(many[s]): runs for s, runs in judged.items()}
         names = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64)
         out, at = [], 0
         for b, lengths in zip(pdf["b"], sizes, strict=True):
             own, head = which[at : at + len(lengths)], hashes[at : at + len(lengths)]
             at += len(lengths)
             order = np.argsort(names[own])
-            more = [(j, offset, doc) for j, s in enumerate(own[order].tolist()) for offset, doc in earlier.get(s, ())]
-            more_ = np.array(more, np.int64).reshape(-1, 3)
-            out.append((b, pack(head, True), pack(names[own[order]], True), pack(first_doc[own[order]]), pack(more_[:, 0]), pack(more_[:, 1]), pack(more_[:, 2])))
-        return pd.DataFrame(out, columns=["b", "hashes", "names", "docs", "more_span", "more_at", "more_doc"])
+            more = np.array([(j, *run) for j, s in enumerate(own[order].tolist()) for run in earlier.get(s, ())], np.int64).reshape(-1, 4)
+            out.append((b, pack(head, True), pack(names[own[order]], True), pack(first_doc[own[order]]), *(pack(more[:, c]) for c in range(4))))
+        return pd.DataFrame(out, columns=["b", "hashes", "names", "docs", "more_span", "more_at", "more_n", "more_doc"])
 
     def removed(pdf: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         every = [[unpack(x, c in ("hashes", "names")) for x in answer[c]] for c in answer.columns if c != "b"]
@@ -267,10 +304,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_byte
         hashes = np.sort(np.concatenate([empty, *every[0]]))
         names = np.concatenate([empty, *every[1]])
         first = np.concatenate([empty, *every[2]]).astype(np.int64)
-        more: dict[int, list[tuple[int, int]]] = {}
-        for add, spans_, ats, docs_ in zip(base, *every[3:], strict=False):
-            for s, offset, doc in zip(spans_.tolist(), ats.astype(np.int64).tolist(), docs_.astype(np.int64).tolist(), strict=True):
-                more.setdefault(int(add) + s, []).append((offset, doc))
+        more: dict[int, list[tuple[int, int, int]]] = {}
+        for add, *runs in zip(base, *every[3:], strict=False):
+            for s, *run in zip(*(x.astype(np.int64).tolist() for x in runs), strict=True):
+                more.setdefault(int(add) + s, []).append(tuple(run))
         order = np.argsort(names, kind="stable")
         names = names[order]
         out: list[tuple] = []
@@ -288,10 +325,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_byte
                 np.add.at(gone, r.first[k[whole]], 1)
                 np.add.at(gone, r.last[k[whole]] + width, -1)
                 for j in np.flatnonzero(~whole).tolist():
-                    for offset, earlier in more.get(int(at[j]), ()):
+                    for offset, count, earlier in more.get(int(at[j]), ()):
                         if earlier < doc[j]:
                             gone[r.first[k[j]] + offset] += 1
-                            gone[r.first[k[j]] + offset + width] -= 1
+                            gone[r.first[k[j]] + offset + count - 1 + width] -= 1
             covered = np.cumsum(gone[:-1]) > 0
             lo = 0
             for text in texts:
@@ -308,5 +345,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_byte
     hits = by_bucket.applyInPandas(anchors, "h int, b int, hashes binary, docs binary, several binary")
     hits = hits.groupBy("h").applyInPandas(shared, "b int, hashes binary")
     parts = by_bucket.cogroup(hits.groupBy("b")).applyInPandas(spans, "h int, b int, hashes binary, left binary, docs binary, lengths binary, spans binary")
-    answers = parts.groupBy("h").applyInPandas(verdicts, "b int, hashes binary, names binary, docs binary, more_span binary, more_at binary, more_doc binary")
+    answers = parts.groupBy("h").applyInPandas(verdicts, "b int, hashes binary, names binary, docs binary, more_span binary, more_at binary, more_n binary, more_doc binary")
     return by_bucket.cogroup(answers.groupBy("b")).applyInPandas(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
