@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,7 +259,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_byte
         for h, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
             if hi > lo:
                 own = [texts[k] for k in order[lo:hi]]
-                rows_.append((h, b, pack(facts[lo:hi, 0], True), pack(facts[lo:hi, 1]), pack(facts[lo:hi, 2]), pack(np.array([len(x) for x in own])), b"".join(own)))
+                rows_.append((h, b, pack(facts[lo:hi, 0], True), pack(facts[lo:hi, 1]), pack(facts[lo:hi, 2]), pack(np.array([len(x) for x in own])), zstandard.ZstdCompressor(level=1).compress(b"".join(own))))
         return pd.DataFrame(rows_, columns=["h", "b", "hashes", "left", "docs", "lengths", "spans"])
 
     def verdicts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -270,9 +271,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_byte
         which = np.empty(len(hashes), np.int64)
         k = 0
         for blob, lengths in zip(pdf["spans"], sizes, strict=True):
-            at = 0
+            at, blob = 0, zstandard.ZstdDecompressor().decompress(blob)
             for size in lengths.tolist():
-                which[k] = number.setdefault(bytes(blob[at : at + size]), len(number))
+                which[k] = number.setdefault(blob[at : at + size], len(number))
                 at += size
                 k += 1
         texts = list(number)
