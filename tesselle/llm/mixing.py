@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Documents of a range, on average.
 RANGE_ROWS = 20_000
 
@@ -51,6 +53,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *extra)
     own = own.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    own = checkpoint(own)  # a narrow table: the texts are read once
     # the key's first 32 bits, cut into as many equal ranges as the source needs
     cut = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(1 << 32))
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
