@@ -28,6 +28,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that go to a Python worker at a time. Texts may be long, and a worker holds a batch as Arrow and as objects.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the batches of Python stages in this session, unless they are smaller already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def held_out(doc_id: str = "doc_id"):
     """The rows that no model may learn from: crc32 of the id as text is 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -44,7 +56,7 @@ class WordHashes(dict):
     """64-bit hashes of words, each computed once. The table is emptied when it is large, so its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

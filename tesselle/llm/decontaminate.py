@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, shingles
+from .common import WordHashes, mix, shingles, small_batches
 
 BLOCKS, NEAR = 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
@@ -130,7 +130,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, lea
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // BLOCK_BYTES))
     kinds = dict(docs.dtypes)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("similarity"), F.lit(None).cast("long").alias("item_id"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
+    out = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("similarity"), F.lit(None).cast("long").alias("item_id"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
     shape = "doc_id long, _text string, contaminated boolean, n_windows long, similarity double, item_id long" + "".join(f", _c{k} {kinds[c]}" for k, c in enumerate(carry))
     for k in range(passes):
         block = items.filter(F.pmod(F.xxhash64("item_id", F.lit(8)), F.lit(passes)) == k).toPandas()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -124,7 +124,7 @@ def dedup_lines(docs: DataFrame, seed_chars: int = 20, least_chars: int = 40, ca
     results. Rows without an id stay as they are. Columns of `docs` that are not named are dropped.
     """
     gone = overlaps(docs, seed_chars, least_chars).withColumnRenamed("doc_id", "_id")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
     joined = own.join(gone, own["doc_id"] == gone["_id"], "left").drop("_id")
     kinds = dict(docs.dtypes)
     shape = "doc_id long, kept string, n_lines long, n_deleted long, n_blocks int" + "".join(f", _c{k} {kinds[c]}" for k, c in enumerate(carry))

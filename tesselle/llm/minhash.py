@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, mix, pack, shingles, unpack
+from .common import WordHashes, checkpoint, mix, pack, shingles, small_batches, unpack
 from .components import components
 
 #: Members of a bucket that choose a hub together; larger buckets are split by a hash of the id, and the hubs of the parts meet.
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     component_id the least id that links lead to. Texts without words are linked with nothing: both are their own id.
     Repeated rows give repeated results. Rows without an id get no class, and link nothing.
     """
-    sketched = checkpoint(sketch(docs, size, bands, rows, id_col, text_col))
+    sketched = checkpoint(sketch(small_batches(docs), size, bands, rows, id_col, text_col))
     named = sketched.filter("n_shingles > 0 and doc_id is not null")
     classes = checkpoint(named.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.min_by("slots", "doc_id").alias("slots"), F.min_by("keys", "doc_id").alias("keys")))
     pairs = checkpoint(first_pairs(classes))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, held_out, mix
+from .common import WordHashes, checkpoint, held_out, mix
 from .decontaminate import PLAIN
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_words: i
     part = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30))
     limit = [int(min(1, per_class / counts[k]) * (1 << 30)) for k in (0, 1)]
     chosen = marks.filter(part < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").filter("text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = checkpoint(texts.filter("text is not null"))  # about 2 * per_class ids were sent to the scan, so no text is shuffled
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_words: i
                 yield both.drop_duplicates()
 
     seen = texts.mapInPandas(contexts, "word long, context long, toxic int").distinct()
-    tally = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    tally = checkpoint(seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
     total = tally.agg(F.sum("bad"), F.sum("good")).first()
     bads, goods = float(total[0] or 0), float(total[1] or 0)
     if not bads or not goods:
