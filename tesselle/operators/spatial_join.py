@@ -22,7 +22,7 @@ PER_CELL, SPREAD = 64, 64
 
 def cell_size(a: DataFrame, b: DataFrame, d: float) -> float:
     """A cell about as wide as needed for PER_CELL objects, and no smaller than 1/SPREAD of the widest one."""
-    both = a.select(*BOX).unionByName(b.select(*BOX))
+    both = a.select(*BOX).unionByName(b.select(*BOX)).dropna()
     row = both.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.count("*"), F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()
     if not row[4]:
         return 1.0
