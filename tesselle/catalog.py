@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import boxes, shapes
 from .functions.boxes import Box
-from .operators import masks, params, partition, regions, stages
+from .operators import masks, params, partition, polygon_join, reconstruction, regions, stages
 from .operators import spatial_join as sj
 from .plans.fixtures import fixture, with_fixtures
 from .sources import files
@@ -251,7 +251,8 @@ def bbox_overlap(spark, sf):
 
 @query("SELECT id, q AS quarter, qx0, qy0, qx1, qy1 FROM (SELECT id, 2*x+y AS q, CASE WHEN x=0 THEN x0 ELSE (x0+x1)//2+1 END AS qx0, CASE WHEN y=0 THEN y0 ELSE (y0+y1)//2+1 END AS qy0, CASE WHEN x=0 THEN (x0+x1)//2 ELSE x1 END AS qx1, CASE WHEN y=0 THEN (y0+y1)//2 ELSE y1 END AS qy1 FROM rect_a, range(2) p(x), range(2) r(y)) WHERE qx0 <= qx1 AND qy0 <= qy1")
 def bbox_divide(spark, sf):
-    return regions.box_quarters(fixture(spark, sf, "rect_a")).withColumn("quarter", F.col("quarter").cast("long"))
+    parts = regions.box_parts(fixture(spark, sf, "rect_a"))
+    return parts.select("id", F.col("part").alias("quarter"), *[F.col(f"p_{c}").alias(f"q{c}") for c in sj.BOX])
 
 
 @query("SELECT dr_name, version, ts, dr_id, seq FROM regions WHERE dr_name <> '' QUALIFY row_number() OVER (PARTITION BY dr_name, ts, version ORDER BY seq DESC) = 1")
@@ -499,3 +500,100 @@ def natural_sort(spark, sf):
 def random_triangles(spark, sf):
     t = files.random_triangles(spark, 1000, 3.0, 1000.0, 11)
     return t.select("id", F.forall("ring", lambda v: (v["x"].between(0, 1000)) & (v["y"].between(0, 1000))).alias("inside"))
+
+
+def _ells(spark, sf, name):
+    """L-shaped polygons on the boxes: twice as wide and high as a box, without the upper right quarter."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    corners = ((0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2), (0, 0))
+    ring = F.array(*[F.struct((F.col("x0") + i * w).cast("double").alias("x"), (F.col("y0") + j * h).cast("double").alias("y")) for i, j in corners])
+    return fixture(spark, sf, name).select("id", ring.alias("ring"))
+
+
+def _ell_sql(name: str) -> str:
+    """The two boxes of an L, and its area."""
+    area = "3*(x1-x0)*(y1-y0) AS area"
+    return f"(SELECT id, x0, y0, 2*x1-x0 AS x1, y1, {area} FROM {name} UNION ALL SELECT id, x0, y1, x1, 2*y1-y0, {area} FROM {name})"
+
+
+ELLS = f"(SELECT a.id AS id1, b.id AS id2, any_value(a.area)::DOUBLE AS area1, any_value(b.area)::DOUBLE AS area2, sum({I})::DOUBLE AS inter, min({D2}) AS d2 FROM {_ell_sql('rect_a')} a JOIN {_ell_sql('rect_b')} b ON a.x0-64 <= b.x1 AND b.x0 <= a.x1+64 AND a.y0-64 <= b.y1 AND b.y0 <= a.y1+64 GROUP BY a.id, b.id)"
+
+
+@query(f"SELECT id1, id2, area1, area2, inter AS intersect_area, area1+area2-inter AS union_area, round(inter/(area1+area2-inter), 6) AS jaccard, round(2*inter/(area1+area2), 6) AS dice FROM {ELLS} WHERE d2 = 0")
+def polygon_stats(spark, sf):
+    p = polygon_join.polygon_join(_ells(spark, sf, "rect_a"), _ells(spark, sf, "rect_b"), "st_intersects")
+    area = F.round("intersect_area", 6)
+    union, both = F.col("area1") + F.col("area2") - area, F.col("area1") + F.col("area2")
+    return p.select("id1", "id2", "area1", "area2", area.alias("intersect_area"), union.alias("union_area"), F.round(area / union, 6).alias("jaccard"), F.round(2 * area / both, 6).alias("dice"))
+
+
+def _polygons(name: str, predicate: str, sql: str, d: float = 0.0) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return polygon_join.polygon_join(_ells(spark, sf_dir, "rect_a"), _ells(spark, sf_dir, "rect_b"), predicate, d).select("id1", "id2")
+
+    run.__name__ = name
+    query(f"SELECT id1, id2 FROM {ELLS} WHERE {sql}")(run)
+
+
+_polygons("polygon_touches", "st_touches", "d2 = 0 AND inter = 0")
+_polygons("polygon_overlaps", "st_overlaps", "inter > 0 AND inter < area1 AND inter < area2")
+_polygons("polygon_contains", "st_contains", "inter > 0 AND inter = area2")
+_polygons("polygon_within", "st_within", "inter > 0 AND inter = area1")
+_polygons("polygon_dwithin", "st_dwithin", "d2 <= 9", 3.0)
+
+
+@query()
+def morph_reconstruction(spark, sf):
+    level = F.col("label") * 30
+    px = slide_assemble(spark, sf).select("y", "x", level.alias("mask"), F.when((F.col("x") * 7 + F.col("y") * 13) % 97 == 0, level).otherwise(0).alias("marker"))
+    return reconstruction.reconstruct(px, 64)
+
+
+@query()
+def bbox_intervals(spark, sf):
+    return regions.box_intervals(fixture(spark, sf, "rect_a"))
+
+
+@query("SELECT id, p AS part, CASE WHEN p=0 THEN x0 ELSE (x0+x1)//2+1 END AS p_x0, CASE WHEN p=0 THEN (x0+x1)//2 ELSE x1 END AS p_x1 FROM rect_a, range(2) r(p) WHERE p = 0 OR (x0+x1)//2+1 <= x1")
+def bbox_halves(spark, sf):
+    return regions.box_parts(fixture(spark, sf, "rect_a"), ("x0",), ("x1",))
+
+
+@query("SELECT a.id, a.x0-b.x0 AS x0, a.y0-b.y0 AS y0, a.x1-b.x0 AS x1, a.y1-b.y0 AS y1, (a.x0=b.x0 AND a.y0=b.y0 AND a.x1=b.x1 AND a.y1=b.y1) AS equal FROM rect_a a JOIN rect_b b USING (id)")
+def bbox_to_origin(spark, sf):
+    a, b = rects(spark, sf)
+    both = a.join(b.select("id", *[F.col(c).alias(f"b_{c}") for c in sj.BOX]), "id")
+    own, other = [F.col(c) for c in sj.BOX], [F.col(f"b_{c}") for c in sj.BOX]
+    moved = regions.box_to_origin(own, other[:2])
+    return both.select("id", *[c.alias(n) for c, n in zip(moved, sj.BOX, strict=True)], regions.box_equals(own, other).alias("equal"))
+
+
+@query("SELECT DISTINCT version FROM regions WHERE dr_name = '2-HIGH'")
+def region_versions(spark, sf):
+    return regions.versions(fixture(spark, sf, "regions"), "2-HIGH")
+
+
+@query("SELECT dr_id AS worker, sum(seq)::BIGINT AS reused FROM regions GROUP BY 1")
+def worker_reuse(spark, sf):
+    return regions.reuse(fixture(spark, sf, "regions"), "seq", "dr_id")
+
+
+@query("SELECT a.o AS id, a.v = b.v AS equal FROM (SELECT l_orderkey AS o, list([l_quantity, l_tax] ORDER BY l_linenumber, l_quantity, l_tax) AS v FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey AS o, list([l_quantity, CASE WHEN l_orderkey % 2 = 0 THEN l_tax ELSE l_discount END] ORDER BY l_linenumber, l_quantity, l_tax, l_discount) AS v FROM lineitem GROUP BY 1) b USING (o)")
+def ragged_equality(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    other = F.when(F.col("l_orderkey") % 2 == 0, F.col("l_tax")).otherwise(F.col("l_discount"))
+    ordered = lambda *v: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_tax", "l_discount", F.array(*v).alias("v")))), lambda s: s["v"])
+    both = rows.groupBy(F.col("l_orderkey").alias("id")).agg(ordered("l_quantity", "l_tax").alias("a"), ordered("l_quantity", other).alias("b"))
+    return both.select("id", regions.ragged_equal(F.col("a"), F.col("b")).alias("equal"))
+
+
+@query("SELECT id, 1 AS side, x0, y0, x1, y1 FROM rect_a UNION ALL SELECT id, 2 AS side, x0, y0, x1, y1 FROM rect_b")
+def side_tagging(spark, sf):
+    return files.tagged(*rects(spark, sf)).select("id", "side", *sj.BOX)
+
+
+@query(f"SELECT a.id || chr(9) || (a.x1-a.x0) || chr(9) || b.id || chr(9) || (b.y1-b.y0) AS line FROM rect_a a JOIN rect_b b ON {MEET}")
+def pair_lines(spark, sf):
+    w, h = (F.col("a_x1") - F.col("a_x0")).alias("w"), (F.col("b_y1") - F.col("b_y0")).alias("h")
+    pairs = sj.spatial_join(*rects(spark, sf), boxes.intersects)
+    return files.pair_lines(pairs.select(F.array(F.col("a_id"), w).alias("side1"), F.array(F.col("b_id"), h).alias("side2")), "1:1,1:2,2:1,2:2")

@@ -107,7 +107,7 @@ def clip(subject: Points, window: Points) -> Points:
     return out
 
 
-def _segment_distance(p, a, b) -> float:
+def segment_distance(p, a, b) -> float:
     ax, ay, bx, by = *a, *b
     length = (bx - ax) ** 2 + (by - ay) ** 2
     t = 0.0 if not length else max(0.0, min(1.0, ((p[0] - ax) * (bx - ax) + (p[1] - ay) * (by - ay)) / length))
@@ -132,5 +132,5 @@ def convex_distance(a: Points, b: Points) -> float:
     best = np.inf
     for one, two in ((a, b), (b, a)):
         hull = convex_hull(two)
-        best = min([best, *(_segment_distance(p, u, v) for p in one for u, v in zip(hull, hull[1:] + hull[:1], strict=True))])
+        best = min([best, *(segment_distance(p, u, v) for p in one for u, v in zip(hull, hull[1:] + hull[:1], strict=True))])
     return best

@@ -146,7 +146,7 @@ def distance_transform(mask: DataFrame, tile: int, rounds: int = 10_000) -> Data
             rim = part if rim is None else rim.union(part)
         full = at.withColumn("halo", F.lit(False)).union(rim)
         live = full.withColumn("alone", F.min("halo").over(Window.partitionBy("ty", "tx"))).filter("not alone").drop("alone")
-        at = _durable(live.groupBy("ty", "tx").applyInPandas(sweep, "ty int, tx int, y int, x int, d int"))
+        at = durable(live.groupBy("ty", "tx").applyInPandas(sweep, "ty int, tx int, y int, x int, d int"))
         total = at.agg(F.sum("d"), F.count("*")).first()
         if total == seen:
             break
@@ -154,7 +154,7 @@ def distance_transform(mask: DataFrame, tile: int, rounds: int = 10_000) -> Data
     return at.select("y", "x", F.col("d").alias("distance"))
 
 
-def _durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +39,80 @@ def box_include(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return out
 
 
-def box_quarters(df: DataFrame) -> DataFrame:
-    """Each 2-D box (x0, y0, x1, y1, inclusive) cut in half on both axes; empty quarters are left out."""
-    mx, my = F.floor((F.col("x0") + F.col("x1")) / 2), F.floor((F.col("y0") + F.col("y1")) / 2)
-    parts = [(x, y) for x in (0, 1) for y in (0, 1)]
-    made = [F.struct(F.lit(2 * x + y).alias("quarter"), (F.col("x0") if x == 0 else mx + 1).alias("qx0"), (F.col("y0") if y == 0 else my + 1).alias("qy0"), (mx if x == 0 else F.col("x1")).alias("qx1"), (my if y == 0 else F.col("y1")).alias("qy1")) for x, y in parts]
-    return df.select("id", F.explode(F.array(*made)).alias("q")).select("id", "q.*").filter("qx0 <= qx1 and qy0 <= qy1")
+def box_equals(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for one, two in zip(a, b, strict=True):
+        out = out & (one == two)
+    return out
+
+
+def box_to_origin(a: Sequence[Column], origin: Sequence[Column]) -> list[Column]:
+    """The box seen from a corner of another one."""
+    n = len(a) // 2
+    return [c - origin[k % n] for k, c in enumerate(a)]
+
+
+def box_parts(df: DataFrame, low: Sequence[str] = ("x0", "y0"), high: Sequence[str] = ("x1", "y1")) -> DataFrame:
+    """Each inclusive box cut in half on all its axes: id, part (the first axis counts most), and the corners as
+    p_ and their names. 2, 4 or 8 parts for 1, 2 or 3 axes; empty parts are left out."""
+    n = len(low)
+    middle = [F.floor((F.col(a) + F.col(b)) / 2) for a, b in zip(low, high, strict=True)]
+    made = []
+    for part in range(1 << n):
+        upper = [part >> (n - 1 - k) & 1 for k in range(n)]
+        ends = [(middle[k] + 1 if upper[k] else F.col(low[k])).alias(f"p_{low[k]}") for k in range(n)]
+        ends += [(F.col(high[k]) if upper[k] else middle[k]).alias(f"p_{high[k]}") for k in range(n)]
+        made.append(F.struct(F.lit(part).cast("long").alias("part"), *ends))
+    out = df.select("id", F.explode(F.array(*made)).alias("q")).select("id", "q.*")
+    for a, b in zip(low, high, strict=True):
+        out = out.filter(F.col(f"p_{a}") <= F.col(f"p_{b}"))
+    return out
+
+
+def box_intervals(df: DataFrame, bits: int = 10) -> DataFrame:
+    """id, first, last: the runs of Hilbert places that an inclusive box of cells covers, in a square of 2^bits.
+
+    An aligned square of cells is one run of the curve, so a box is cut into the largest such squares; the work grows
+    with a box's outline, not with its area. Cells outside the square have no place.
+    """
+
+    def place(x: int, y: int) -> int:
+        d, s = 0, 1 << (bits - 1)
+        while s:
+            rx, ry = int(x & s > 0), int(y & s > 0)
+            d += s * s * (3 * rx ^ ry)
+            x, y = x & (s - 1), y & (s - 1)
+            if not ry:
+                x, y = (s - 1 - y, s - 1 - x) if rx else (y, x)
+            s >>= 1
+        return d
+
+    def runs(x0: int, y0: int, x1: int, y1: int) -> list[list[int]]:
+        found, todo = [], [(0, 0, 1 << bits)]
+        while todo:
+            x, y, s = todo.pop()
+            if x > x1 or y > y1 or x + s - 1 < x0 or y + s - 1 < y0:
+                continue
+            if x0 <= x and y0 <= y and x + s - 1 <= x1 and y + s - 1 <= y1:
+                first = place(x, y) // (s * s) * s * s
+                found.append([first, first + s * s - 1])
+            else:
+                s //= 2
+                todo += [(x + dx, y + dy, s) for dx in (0, s) for dy in (0, s)]
+        joined: list[list[int]] = []
+        for first, last in sorted(found):
+            if joined and joined[-1][1] + 1 == first:
+                joined[-1][1] = last
+            else:
+                joined.append([first, last])
+        return joined
+
+    def run(frames):
+        for frame in frames:
+            boxes = zip(*[frame[c].tolist() for c in ("id", "x0", "y0", "x1", "y1")], strict=True)
+            yield pd.DataFrame([(id_, *x) for id_, *box in boxes for x in runs(*box)], columns=["id", "first", "last"])
+
+    return df.select("id", "x0", "y0", "x1", "y1").dropna().mapInPandas(run, "id long, first long, last long")
 
 
 def upsert(regions: DataFrame) -> DataFrame:
@@ -103,3 +172,18 @@ def largest_level(levels: DataFrame) -> DataFrame:
 
 def unpremultiply(c: Column, a: Column) -> Column:
     return F.when(a == 0, 0).when(a == 255, c).otherwise(F.floor((c * 255 + F.floor(a / 2)) / a)).cast("long")
+
+
+def versions(regions: DataFrame, name: str) -> DataFrame:
+    """The versions under which a region is stored."""
+    return regions.filter(F.col("dr_name") == name).select("version").distinct()
+
+
+def ragged_equal(a: Column, b: Column) -> Column:
+    """Whether two ragged regions (arrays of arrays) have the same sizes and elements; null is equal to null only."""
+    return a.eqNullSafe(b)
+
+
+def reuse(regions: DataFrame, sizes: str, worker: str) -> DataFrame:
+    """Per worker, the bytes of the regions that it holds already."""
+    return regions.groupBy(F.col(worker).alias("worker")).agg(F.sum(sizes).alias("reused"))

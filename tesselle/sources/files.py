@@ -27,6 +27,27 @@ def write_objects(polygons: DataFrame, path: str) -> None:
     polygons.select("id", to_wkt(F.col("ring"))).write.csv(path, sep="\t", quote="\u0000")
 
 
+def tagged(*inputs: DataFrame) -> DataFrame:
+    """The inputs as one, each row with the number of its side, from 1."""
+    out = inputs[0].withColumn("side", F.lit(1))
+    for k, df in enumerate(inputs[1:], 2):
+        out = out.unionByName(df.withColumn("side", F.lit(k)))
+    return out
+
+
+def pair_lines(pairs: DataFrame, fields: str = "") -> DataFrame:
+    """line: fields of either side (arrays side1 and side2) joined by tabs. `fields` names them as side:place from 1;
+    without it all fields of both sides are written. Fields that a row lacks are empty."""
+    wanted = [tuple(map(int, f.split(":"))) for f in fields.split(",") if f]
+    if any(side not in (1, 2) or place < 1 for side, place in wanted):
+        raise ValueError(f"no such fields: {fields}")
+    text = lambda c: F.transform(c, lambda v: F.coalesce(v.cast("string"), F.lit("")))
+    if not wanted:
+        return pairs.select(F.array_join(F.concat(text(F.col("side1")), text(F.col("side2"))), "\t").alias("line"))
+    chosen = [F.coalesce(F.try_element_at(f"side{side}", F.lit(place)).cast("string"), F.lit("")) for side, place in wanted]
+    return pairs.select(F.array_join(F.array(*chosen), "\t").alias("line"))
+
+
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
     return spark.read.text(path).filter(F.size(parts) == 5).select(parts[0].alias("tile_id"), *[parts[k].try_cast("double").alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"), 1)])
