@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 #: Documents of a range, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
