@@ -10,6 +10,8 @@ from graphlib import TopologicalSorter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .masks import connected, durable
+
 REGISTRY: dict[str, Callable] = {}
 
 
@@ -59,12 +61,13 @@ class Workflow:
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """All (node, needs) pairs of a dependency table, by doubling the length of known paths."""
-    paths = edges.select("node", "needs").distinct()
+    """All (node, needs) pairs of a dependency table, by doubling the length of known paths. Each round is written to
+    the checkpoint folder, so none is computed twice."""
+    paths = durable(edges.select("node", "needs").distinct())
     count = paths.count()
     for _ in range(rounds):
         further = paths.alias("p").join(paths.alias("q"), F.col("p.needs") == F.col("q.node")).select("p.node", "q.needs")
-        paths = paths.union(further).distinct()
+        paths = durable(paths.union(further).distinct())
         new = paths.count()
         if new == count:
             return paths
@@ -83,8 +86,6 @@ def normalize_colours(pixels: DataFrame, mean: float, std: float) -> DataFrame:
 @stage("segment", needs=("tile", "y", "x", "value"), gives=("label",))
 def segment(pixels: DataFrame, threshold: float, least_pixels: int = 1) -> DataFrame:
     """Pixels above a threshold, as connected objects of at least so many pixels."""
-    from .masks import connected
-
     bright = pixels.filter(F.col("value") > threshold).select("tile", "y", "x", F.lit(1).alias("label"))
     found = connected(bright)
     kept = found.groupBy("tile", "label").count().filter(F.col("count") >= least_pixels).drop("count")
