@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment.
 
-A line that occurs once in its document and is long enough is a seed. Each seed leads to the earliest document that has
-the same line; so a line shared by n documents makes n - 1 pairs, not n squared, and a common line needs no limit.
+Each shortest run of adjacent lines that reaches `least_chars` characters, and that an earlier document has too, is a seed,
+however short or frequent its lines are. Each seed leads to the earliest document that has the same run; so a run shared
+by n documents makes n - 1 pairs, not n squared, and a common line needs no limit.
 Both documents of a pair, reduced to the lines they share, are aligned by patience diff: lines that are unique on both
 sides are kept in their longest increasing order, and the parts between these are aligned in the same way. Aligned
 lines that follow each other on both sides make a block; blocks of `least_chars` characters or more are deleted from
@@ -14,7 +15,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,17 +88,54 @@ def blocks(shared: list[tuple[list[int], list[int], int]], least_chars: int) ->
     return gone, count
 
 
-def overlaps(docs: DataFrame, seed_chars: int = 20, least_chars: int = 40) -> DataFrame:
-    """doc_id, gone (numbers of lines to delete, among the non-blank ones), n_blocks: documents that lose lines only."""
+def runs(lines: list[tuple[int, list[int], int]], least_chars: int) -> tuple[bytes, dict[int, set[int]]]:
+    """A name of the order of the lines, and by its hash each shortest run of adjacent lines that reaches `least_chars`
+    from its first line on or from its last line back, with the numbers of the lines in it. Each line of a block is in
+    such a run of the block. lines: for each shared line its hash, its numbers and its characters."""
+    order = sorted((p, key, chars) for key, at, chars in lines for p in at)
+    by_place = {p: (key, chars) for p, key, chars in order}
+    steps = [key for k, (p, key, _) in enumerate(order) for key in (key, int(k > 0 and p == order[k - 1][0] + 1))]
+    found: dict[int, set[int]] = {}
+    for first in by_place:
+        for step in (1, -1):
+            p, held = first, 0
+            while p in by_place and held < least_chars:
+                held, p = held + by_place[p][1], p + step
+            if held >= least_chars:
+                own = range(first, p) if step > 0 else range(p + 1, first + 1)
+                key = xxhash.xxh3_64_intdigest(np.array([by_place[k][0] for k in own], np.int64).tobytes())
+                found.setdefault(key - (1 << 63), set()).update(own)
+    return xxhash.xxh3_128_digest(np.array(steps, np.int64).tobytes()), found
+
+
+def overlaps(docs: DataFrame, least_chars: int = 40) -> DataFrame:
+    """doc_id, gone (numbers of lines to delete, among the non-blank ones): documents that lose lines only."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), "\n").alias("lines")).filter("doc_id is not null")
     plain = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != "")
     lines = lines.select("doc_id", F.posexplode(plain).alias("pos", "line")).select("doc_id", "pos", F.xxhash64("line").alias("hash"), F.length("line").alias("chars"))
     by_doc = lines.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.max("chars").alias("chars"))
     by_doc = checkpoint(by_doc)
-    owner = by_doc.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = checkpoint(by_doc.join(owner, "hash"))
-    pairs = shared.filter((F.col("doc_id") > F.col("owner")) & (F.size("at") == 1) & (F.col("chars") >= seed_chars)).select("doc_id", "owner").distinct()
-    later = pairs.join(shared.select("doc_id", "hash", "at", "chars"), "doc_id")
+    often = by_doc.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = checkpoint(by_doc.join(often, "hash"))
+
+    def seek(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc, rows in zip(frame["doc_id"], frame["lines"], strict=True):
+                shape, found = runs([(x["hash"], list(x["at"]), x["chars"]) for x in rows], least_chars)
+                out += [(doc, shape, run, sorted(at)) for run, at in found.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "shape", "run", "at"])
+
+    whole = shared.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "at", "chars")).alias("lines"))
+    seeds = checkpoint(whole.mapInPandas(seek, "doc_id long, shape binary, run long, at array<int>"))
+    first = seeds.groupBy("run").agg(F.min("doc_id").alias("owner"))
+    found = seeds.join(first, "run").filter("doc_id > owner")
+    return aligned(found.select("doc_id", "owner").distinct(), shared, least_chars)
+
+
+def aligned(pairs: DataFrame, shared: DataFrame, least_chars: int) -> DataFrame:
+    """doc_id, gone: the lines of doc_id in blocks that it has in common with any owner that it is paired with."""
+    later = pairs.join(shared, "doc_id")
     earlier = shared.select(F.col("doc_id").alias("owner"), "hash", F.col("at").alias("other")).join(pairs.select("owner").distinct(), "owner", "left_semi")
     common = later.join(earlier, ["owner", "hash"])
     each = common.groupBy("doc_id").agg(F.collect_list(F.struct("owner", "hash", "at", "other", "chars")).alias("shared"))
@@ -107,23 +147,23 @@ def overlaps(docs: DataFrame, seed_chars: int = 20, least_chars: int = 40) -> Da
                 by_owner: dict[int, list] = {}
                 for x in sorted(rows, key=lambda x: (x["owner"], x["hash"])):
                     by_owner.setdefault(x["owner"], []).append((list(x["at"]), list(x["other"]), x["chars"]))
-                found = [blocks(x, least_chars) for x in by_owner.values()]
-                gone = sorted(set().union(*(x for x, _ in found)))
+                gone = set().union(*(blocks(x, least_chars)[0] for x in by_owner.values()))
                 if gone:
-                    out.append((doc, gone, sum(n for _, n in found)))
-            yield pd.DataFrame(out, columns=["doc_id", "gone", "n_blocks"])
+                    out.append((doc, sorted(gone)))
+            yield pd.DataFrame(out, columns=["doc_id", "gone"])
 
-    return each.mapInPandas(run, "doc_id long, gone array<int>, n_blocks int")
+    return each.mapInPandas(run, "doc_id long, gone array<int>")
 
 
-def dedup_lines(docs: DataFrame, seed_chars: int = 20, least_chars: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kept (the text that is left), n_lines, n_deleted, n_blocks and the `carry` columns for each row.
 
     Lines are compared without blanks at their ends; blank lines never match and stay. Null and empty texts have no
     lines; kept is null or empty as they are. Rows with equal ids count as one document: equal rows give equal
-    results. Rows without an id stay as they are. Columns of `docs` that are not named are dropped.
+    results. Rows without an id stay as they are. n_blocks counts the runs of adjacent lines that are deleted. Columns of
+    `docs` that are not named are dropped.
     """
-    gone = overlaps(docs, seed_chars, least_chars).withColumnRenamed("doc_id", "_id")
+    gone = overlaps(docs, least_chars).withColumnRenamed("doc_id", "_id")
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
     joined = own.join(gone, own["doc_id"] == gone["_id"], "left").drop("_id")
     kinds = dict(docs.dtypes)
@@ -131,7 +171,7 @@ def dedup_lines(docs: DataFrame, seed_chars: int = 20, least_chars: int = 40, ca
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            kept, total, deleted = [], [], []
+            kept, total, deleted, parts = [], [], [], []
             for text, away in zip(frame["_text"], frame["gone"], strict=True):
                 away = set(away.tolist()) if away is not None else set()
                 number, left = 0, []
@@ -145,6 +185,7 @@ def dedup_lines(docs: DataFrame, seed_chars: int = 20, least_chars: int = 40, ca
                 kept.append("\n".join(left) if text else text)
                 total.append(number)
                 deleted.append(len(away))
-            yield frame.drop(columns=["_text", "gone"]).assign(kept=kept, n_lines=total, n_deleted=deleted, n_blocks=frame["n_blocks"].fillna(0).astype("int32"))
+                parts.append(sum(p - 1 not in away for p in away))
+            yield frame.drop(columns=["_text", "gone"]).assign(kept=kept, n_lines=total, n_deleted=deleted, n_blocks=np.array(parts, np.int32))
 
     return joined.mapInPandas(run, shape).withColumnsRenamed({f"_c{k}": c for k, c in enumerate(carry)})

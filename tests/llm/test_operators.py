@@ -233,6 +233,17 @@ def test_lines(spark):
     assert patience([1, 2, 3, 4], [9, 2, 3, 1, 4]) == [(1, 1), (2, 2), (3, 4)]
 
 
+def gone_lines(spark, texts):
+    got = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [x.n_deleted for x in sorted(got, key=lambda x: x.doc_id)]
+
+
+def test_lines_that_are_short_or_repeated(spark):
+    poem = "\n".join(f"short line {k}" for k in range(6))
+    twice = "x" * 200 + "\nX\n" + "x" * 200
+    assert gone_lines(spark, [poem, twice, "own\n" + poem, twice]) == [0, 0, 6, 3]
+
+
 def test_pipeline(spark, tmp_path):
     rows = [(k, (t or None) and t, "en", s, n) for k, t, _, s, n, _ in texts()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
