@@ -2,7 +2,10 @@
 
 Each shortest run of adjacent lines that reaches `least_chars` characters, and that an earlier document has too, is a seed,
 however short or frequent its lines are. Each seed leads to the earliest document that has the same run; so a run shared
-by n documents makes n - 1 pairs, not n squared, and a common line needs no limit.
+by n documents makes n - 1 pairs, not n squared, and a common line needs no limit. Where the alignments leave a line of
+a seed (it is moved, or repeated), the seed leads to its further holders too, some at a time, until all lines of the seed
+are deleted or all earlier holders are aligned. Holders whose shared lines are the same in the same order count once. So
+the lines that go are those that alignments with all earlier documents would delete.
 Both documents of a pair, reduced to the lines they share, are aligned by patience diff: lines that are unique on both
 sides are kept in their longest increasing order, and the parts between these are aligned in the same way. Aligned
 lines that follow each other on both sides make a block; blocks of `least_chars` characters or more are deleted from
@@ -18,11 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, small_batches
 
+#: The second round goes to this many holders of a seed, and each further one to this many times as many.
+ROUND = 32
+
 
 def longest_increasing(values: list[int]) -> list[int]:
     """Positions of a longest strictly increasing subsequence, by patience sorting."""
@@ -129,30 +135,52 @@ def overlaps(docs: DataFrame, least_chars: int = 40) -> DataFrame:
     whole = shared.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "at", "chars")).alias("lines"))
     seeds = checkpoint(whole.mapInPandas(seek, "doc_id long, shape binary, run long, at array<int>"))
     first = seeds.groupBy("run").agg(F.min("doc_id").alias("owner"))
-    found = seeds.join(first, "run").filter("doc_id > owner")
-    return aligned(found.select("doc_id", "owner").distinct(), shared, least_chars)
-
-
-def aligned(pairs: DataFrame, shared: DataFrame, least_chars: int) -> DataFrame:
-    """doc_id, gone: the lines of doc_id in blocks that it has in common with any owner that it is paired with."""
+    todo = seeds.join(first, "run").filter("doc_id > owner")
+    state = checkpoint(aligned(todo.withColumn("gone", F.array().cast("array<int>")), shared, least_chars))
+    gone = state.select("doc_id", "gone")
+    open_ = state.select("doc_id", "gone", F.explode("left").alias("x")).select("doc_id", "gone", "x.run", "x.at")
+    once = seeds.join(seeds.groupBy("shape").agg(F.min("doc_id").alias("doc_id")), ["shape", "doc_id"], "left_semi")
+    holders = once.select("run", F.col("doc_id").alias("owner")).join(open_.select("run").distinct(), "run")
+    holders = checkpoint(holders.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy("owner"))))
+    low, high = 2, ROUND
+    while True:
+        todo = open_.join(holders.filter(f"rank between {low} and {high}").drop("rank"), "run").filter("doc_id > owner")
+        state = checkpoint(aligned(todo, shared, least_chars))
+        if state.isEmpty():
+            return gone.groupBy("doc_id").agg(F.max_by("gone", F.size("gone")).alias("gone")).filter(F.size("gone") > 0)
+        gone = gone.union(state.select("doc_id", "gone"))
+        open_ = state.select("doc_id", "gone", F.explode("left").alias("x")).select("doc_id", "gone", "x.run", "x.at")
+        low, high = high + 1, high * ROUND
+
+
+def aligned(todo: DataFrame, shared: DataFrame, least_chars: int) -> DataFrame:
+    """doc_id, gone: the lines of doc_id that were gone, and those in blocks that it has in common with its owners; and
+    left: the seeds (run, at) that still have lines. todo: doc_id, owner, run, at, gone."""
+    pairs = todo.select("doc_id", "owner").distinct()
     later = pairs.join(shared, "doc_id")
     earlier = shared.select(F.col("doc_id").alias("owner"), "hash", F.col("at").alias("other")).join(pairs.select("owner").distinct(), "owner", "left_semi")
     common = later.join(earlier, ["owner", "hash"])
     each = common.groupBy("doc_id").agg(F.collect_list(F.struct("owner", "hash", "at", "other", "chars")).alias("shared"))
+    each = each.join(todo.groupBy("doc_id").agg(F.first("gone").alias("gone"), F.collect_set(F.struct("run", "at")).alias("seeds")), "doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, rows in zip(frame["doc_id"], frame["shared"], strict=True):
+            for doc, rows, away, seeds in zip(frame["doc_id"], frame["shared"], frame["gone"], frame["seeds"], strict=True):
                 by_owner: dict[int, list] = {}
                 for x in sorted(rows, key=lambda x: (x["owner"], x["hash"])):
                     by_owner.setdefault(x["owner"], []).append((list(x["at"]), list(x["other"]), x["chars"]))
-                gone = set().union(*(blocks(x, least_chars)[0] for x in by_owner.values()))
-                if gone:
-                    out.append((doc, sorted(gone)))
-            yield pd.DataFrame(out, columns=["doc_id", "gone"])
-
-    return each.mapInPandas(run, "doc_id long, gone array<int>")
+                gone = set(away.tolist())
+                wanted = {p for x in seeds for p in x["at"]}
+                for lines in by_owner.values():
+                    if wanted <= gone:
+                        break
+                    gone |= blocks(lines, least_chars)[0]
+                left = [{"run": x["run"], "at": list(x["at"])} for x in seeds if not gone.issuperset(x["at"])]
+                out.append((doc, sorted(gone), left))
+            yield pd.DataFrame(out, columns=["doc_id", "gone", "left"])
+
+    return each.mapInPandas(run, "doc_id long, gone array<int>, left array<struct<run: long, at: array<int>>>")
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:

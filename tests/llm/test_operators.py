@@ -14,7 +14,7 @@ from tesselle.llm import chat, langid, media, mixing, toxicity, urls
 from tesselle.llm.components import components
 from tesselle.llm.decontaminate import find_contamination
 from tesselle.llm.exact_substring import remove_repeats
-from tesselle.llm.line_dedup import dedup_lines, patience
+from tesselle.llm.line_dedup import blocks, dedup_lines, patience
 from tesselle.llm.minhash import near_duplicates, signatures
 from tesselle.llm.queries import URL_RULES
 from tesselle.llm.suffix_array import suffix_array
@@ -244,6 +244,22 @@ def test_lines_that_are_short_or_repeated(spark):
     assert gone_lines(spark, [poem, twice, "own\n" + poem, twice]) == [0, 0, 6, 3]
 
 
+def test_lines_of_all_earlier_documents(spark):
+    one, two, r = "p" * 60, "q" * 60, random.Random(8)
+    assert gone_lines(spark, [f"{one}\n{two}", f"{two}\nmine\n{one}", f"{two}\nother\n{one}"]) == [0, 1, 2]
+    three = [f"thirty characters of line no {k}" for k in range(3)]
+    assert gone_lines(spark, [*three, "\n".join(three), "\n".join(three)]) == [0, 0, 0, 0, 3]
+    rows = [[r.choice(["a" * 50, "b" * 45, "c" * 25, "d" * 25, "e" * 10, f"{k} " * 9, f"{k} {p}"]) for p in range(r.randrange(9))] for k in range(60)]
+    want = []
+    for k, own in enumerate(rows):
+        at = lambda x, x_of: [p for p, y in enumerate(x_of) if y == x]
+        ways = [blocks([(at(x, own), at(x, other), len(x.strip())) for x in sorted(set(own) & set(other), key=lambda x: hash(x))], 40)[0] for other in rows[:k]]
+        want.append(len(set().union(*ways)))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("tesselle.llm.line_dedup.ROUND", 3)
+        assert gone_lines(spark, ["\n".join(x) for x in rows]) == want
+
+
 def test_pipeline(spark, tmp_path):
     rows = [(k, (t or None) and t, "en", s, n) for k, t, _, s, n, _ in texts()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
