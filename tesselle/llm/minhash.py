@@ -167,7 +167,7 @@ def family(frame: pd.DataFrame, percent: int, least_equal: int) -> pd.DataFrame:
     links = []
     for rep, own, own_lost, own_new, blob in zip(left["a"].tolist(), left["slots"], left["n_lost"].tolist(), left["n_new"].tolist(), left["diff"], strict=True):
         near = np.flatnonzero((slots == np.frombuffer(own, np.uint16)).sum(axis=1) >= least_equal)
-        if len(near) <= 1:
+        if (reps[near] == rep).all():  # only a block of equal parts holds the asking member itself
             continue
         diff = unpack(blob, True)
         if len(near) <= 32:

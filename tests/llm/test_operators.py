@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tesselle.llm import chat, langid, media, mixing, toxicity, urls
+from tesselle.llm import chat, langid, media, minhash, mixing, toxicity, urls
 from tesselle.llm.components import components
 from tesselle.llm.decontaminate import find_contamination
 from tesselle.llm.exact_substring import remove_repeats
@@ -88,6 +88,25 @@ def test_near_duplicates(spark):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], r.doc_id == label[r.doc_id])
 
 
+@pytest.mark.parametrize("part", [2, 4096])
+def test_families_in_blocks(spark, part):
+    """Members that are unlike their hub, and like one other member each, in blocks of any size."""
+    value = np.random.default_rng(9).integers(0, 1 << 63, 2000).astype(np.uint64)
+    own = {0: {*range(100)}}
+    for k in range(1, 9):
+        own[2 * k] = {*range(50), *range(100 * k + 100, 100 * k + 150)}
+        own[2 * k + 1] = own[2 * k] - {0} | {100 * k + 190}
+    sets = {k: np.sort(value[sorted(x)]) for k, x in own.items()}
+    slots = [(x >> np.uint64(48)).astype(np.uint16).tobytes() for x in minhash.mix(signatures(list(sets.values()), 64))]
+    classes = spark.createDataFrame(list(zip(sets, slots, strict=True)), "rep long, slots binary")
+    short = spark.createDataFrame([(k, minhash.pack(np.unique(x >> np.uint64(16)), True)) for k, x in sets.items()], "rep long, set binary")
+    pairs = spark.createDataFrame([(k, 0) for k in own if k], "a long, b long")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(minhash, "PART", part)
+        got = minhash.families(minhash.compared(pairs, short, 85), classes, 85, 36).collect()
+    assert {frozenset(x) for x in got} == {frozenset((a, b)) for a in own for b in own if 0 < a < b and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
