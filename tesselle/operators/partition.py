@@ -60,12 +60,12 @@ def hilbert_tiles(df: DataFrame, per_tile: int, bits: int = 20) -> DataFrame:
     return tile.groupBy("tile").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("objects")).withColumn("tile_id", F.concat(F.lit("HC|"), F.col("tile") + 1)).drop("tile")
 
 
-def _sampled(df: DataFrame) -> tuple[list, float]:
-    """At most about SAMPLE boxes on the driver, and the share that they are of all."""
-    n = df.count()
+def _sampled(df: DataFrame) -> tuple[list, float, tuple | None]:
+    """At most about SAMPLE boxes on the driver, the share that they are of all, and the box around all."""
+    *whole, n = space(df).first()
     share = min(1.0, SAMPLE / max(1, n))
     rows = (df if share == 1 else df.sample(share, seed=7)).select("id", "x0", "y0", "x1", "y1").collect()
-    return [tuple(float(v) for v in r[1:]) for r in sorted(rows)], share
+    return [tuple(float(v) for v in r[1:]) for r in sorted(rows)], share, None if whole[0] is None else tuple(map(float, whole))
 
 
 def _tiles(df: DataFrame, found: list[tuple], prefix: str) -> DataFrame:
@@ -74,12 +74,14 @@ def _tiles(df: DataFrame, found: list[tuple], prefix: str) -> DataFrame:
 
 
 def binary_tiles(df: DataFrame, per_tile: int) -> DataFrame:
-    """Cut the space at the median centre of the axis along which centres vary more, until tiles hold `per_tile`."""
-    rows, share = _sampled(df)
+    """Cut the space at the median centre of the axis along which centres vary more, until tiles hold `per_tile`.
+
+    The tiles cover all boxes. Of more than SAMPLE boxes, the cuts come from a sample, so counts are approximate there.
+    """
+    rows, share, whole = _sampled(df)
     most = max(1, per_tile * share)
     out: list[tuple] = []
-    whole = (min(r[0] for r in rows), min(r[1] for r in rows), max(r[2] for r in rows), max(r[3] for r in rows)) if rows else None
-    todo = [(whole, rows)] if rows else []
+    todo = [(whole, rows)] if whole else []
     while todo:
         box, own = todo.pop()
         centres = [sorted((r[k] + r[k + 2]) / 2 for r in own) for k in (0, 1)]
@@ -98,11 +100,14 @@ def binary_tiles(df: DataFrame, per_tile: int) -> DataFrame:
 
 
 def strip_tiles(df: DataFrame, per_tile: int) -> DataFrame:
-    """Cut off `per_tile` objects again and again, by the vertical or horizontal line that crosses fewer boxes."""
-    rows, share = _sampled(df)
+    """Cut off `per_tile` objects again and again, by the vertical or horizontal line that crosses fewer boxes.
+
+    The tiles cover all boxes. Of more than SAMPLE boxes, the cuts come from a sample, so counts are approximate there.
+    """
+    rows, share, whole = _sampled(df)
     most = max(1, int(per_tile * share))
     out: list[tuple] = []
-    box = [min(r[0] for r in rows), min(r[1] for r in rows), max(r[2] for r in rows), max(r[3] for r in rows)] if rows else []
+    box = list(whole or ())
     while len(rows) > most:
         choices = []
         for axis in (1, 0):

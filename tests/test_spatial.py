@@ -60,6 +60,14 @@ def test_every_object_has_a_tile(spark, make):
     assert partition.to_tiles(a, tiles).select("id").distinct().count() == 200
 
 
+@pytest.mark.parametrize("make", [partition.binary_tiles, partition.strip_tiles])
+def test_every_object_has_a_tile_beyond_the_sample(spark, make, monkeypatch):
+    monkeypatch.setattr(partition, "SAMPLE", 100)
+    far = [(1000 + k, x, y, x + 1, y + 1) for k, (x, y) in enumerate((sx * (5000 + 100 * k), sy * (5000 + 100 * k)) for k in range(5) for sx in (-1, 1) for sy in (-1, 1))]
+    a = spark.createDataFrame(some(5, 1000) + far, SCHEMA)
+    assert partition.to_tiles(a, make(a, 50)).select("id").distinct().count() == 1020
+
+
 def test_hilbert_visits_neighbours(spark):
     cells = spark.range(64).selectExpr("id div 8 as x", "id % 8 as y")
     order = [(r.x, r.y) for r in cells.withColumn("h", shapes.hilbert(cells.x, cells.y, 3)).orderBy("h").collect()]
