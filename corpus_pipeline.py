@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
-Language ID rejects texts without a letter and those whose predicted language has next to no support. Line dedup deletes
+Language ID rejects texts without a letter and those whose features the predicted language mostly lacks. Line dedup deletes
 lines that earlier documents have, and documents that lose all their text. Near dedup keeps the first document of each
 group (shingles of five words, similarity 0.8). Decontamination drops documents that hold a benchmark item. Mixing gives the
 words that the mix takes of each document; documents that it takes nothing of are left out.
@@ -20,7 +20,7 @@ from tesselle.llm.decontaminate import find_contamination
 from tesselle.llm.line_dedup import dedup_lines
 from tesselle.llm.minhash import near_duplicates
 
-#: A language with less support than this in the margins is no prediction.
+#: A prediction with a lower score is none; texts whose features the language mostly lacks score 0.
 LEAST_SCORE = 0.02
 
 

@@ -208,6 +208,17 @@ def test_language(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_language_stage_rejects_junk_with_letters(spark):
+    r = random.Random(7)
+    alphabet = {"aa": "abcd", "bb": "cdef", "cc": "wxyz", "dd": "uvwx"}
+    say = lambda s, n: " ".join("".join(r.choice(s) for _ in range(5)) for _ in range(n))
+    rows = [(k, say(alphabet[lang], r.choice([5, 40, 300])), lang) for k, lang in enumerate(list(alphabet) * 40)]
+    junk = [say("abcdefghijklmnopqrstuvwxyz", 40), say("0123456789ghij", 40), "το γρήγορο καφέ αλεπού", "mnop" * 50, None, " 12 "]
+    rows += [(900 + k, x, "aa" if k % 2 else None) for k, x in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in corpus_pipeline.language(spark, docs, "").collect()} == set(range(160))
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     say = lambda n: [r.choice(WORDS) for _ in range(n)]
