@@ -208,6 +208,13 @@ def test_language(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2, raising=False)
+    docs = spark.createDataFrame([(k, "some words", f"l{k % 3}") for k in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.fit(docs)
+
+
 def test_language_stage_rejects_junk_with_letters(spark):
     r = random.Random(7)
     alphabet = {"aa": "abcd", "bb": "cdef", "cc": "wxyz", "dd": "uvwx"}
