@@ -3,7 +3,8 @@
 Words are read as symbols: insult, threat, target, negation, report or other. Three transducers rewrite a clause from
 left to right, each marking the insults and threats that it governs: negated (a few words after a negation), reported (after a
 verb of saying), aimed (after a target). Their composition is one transducer whose arcs multiply the weights, so a
-clause is scored in one pass; a word alone has no score of its own. A logistic model turns a document's clause scores
+clause is scored in one pass; insults and threats are single words, which score 1 times their weight where no
+transducer marks them. A logistic model turns a document's clause scores
 into a probability.
 
 The insults are learned from labels: words whose distinct contexts (the word before and the word after) stand far more
