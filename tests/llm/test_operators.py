@@ -245,17 +245,77 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.score(docs, nobody).collect()} == {0.0}
 
 
-def test_grammar_marks_context():
-    g = toxicity.grammar()
-    walk = lambda kinds: [step(k)[1] for k in kinds]
-    state = g.start
-
-    def step(kind):
-        nonlocal state
-        state, marks, weight = g.step(state, kind)
-        return state, marks, weight
-
-    assert walk([toxicity.TARGET, toxicity.NEGATION, toxicity.INSULT, toxicity.OTHER, toxicity.REPORT, toxicity.INSULT])[2::3] == [toxicity.AIMED | toxicity.NEGATED, toxicity.AIMED | toxicity.REPORTED]
+def brute_parse(clauses):
+    """Scores and accepted words by looking around each strong word."""
+    T = toxicity
+    flat = [(c, p, kind, s) for c, own in enumerate(clauses) for p, (kind, s) in enumerate(own) if kind in T.STRONG]
+    scores, accepted = {}, 0
+    for n, (c, p, kind, s) in enumerate(flat):
+        kinds = [k for k, _ in clauses[c]]
+        before = lambda wanted, reach: wanted in kinds[max(0, p - reach) : p]  # noqa: E731, B023
+        insult = kind == T.INSULT
+        factor = (1.3 if before(T.TARGET, 4) else 1) * (0.3 if before(T.NEGATION, 3) else 1) * (0.5 if before(T.REPORT, p) else 1)
+        piled = lambda k: any(flat[j][2] == T.INSULT and flat[j][0] >= flat[k][0] - 2 for j in range(k))
+        factor *= 1.2 if insult and piled(n) else 1
+        at = None
+        if before(T.TARGET, 4) or insult and (before(T.LINK, 3) or p == 0 or piled(n)) or not insult and before(T.INTENT, 3):
+            at = c
+        else:
+            follows = next((q for q in range(p + 1, len(kinds)) if kinds[q] in T.STRONG), len(kinds))
+            if T.TARGET in kinds[p + 1 : min(p + 4, follows)]:
+                at, factor = c, factor * 1.2
+            elif insult and p == len(kinds) - 1:
+                at = c
+            elif insult and n + 1 < len(flat) and flat[n + 1][2] == T.INSULT and piled(n + 1):
+                at = flat[n + 1][0]
+        if at is not None:
+            scores[at] = scores.get(at, 0) + s * factor
+            accepted += 1
+    return [scores[c] for c in sorted(scores)], accepted
+
+
+def test_grammar_is_the_brute_force_search():
+    r, machine = random.Random(12), toxicity.grammar()
+    for _ in range(3000):
+        kinds = r.choices(toxicity.KINDS[:-1], [3, 2, 1, 1, 1, 1, 1, 6], k=40)
+        symbols = [(k, r.choice([1.0, 2.5, 4.0]) if k in toxicity.STRONG else 0.0) for k in kinds]
+        cuts = sorted(r.sample(range(41), r.randrange(12)))
+        clauses = [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, 40], strict=True)]
+        got, want = toxicity.parse(clauses, machine), brute_parse(clauses)
+        assert got[1] == want[1] and np.allclose(got[0], want[0])
+
+
+def test_grammar_decides():
+    """Words that no pattern accepts, and the words of an inert grammar, have no score."""
+    T = toxicity
+    strong, other = (T.INSULT, 4.0), (T.OTHER, 0.0)
+    parse = lambda *clause: T.parse([list(clause)], T.grammar())
+    assert parse(other, strong, other) == ([], 0)
+    assert parse(other, (T.LINK, 0.0), strong, other) == ([4.0], 1)
+    assert parse((T.TARGET, 0.0), other, strong, other) == ([4.0 * 1.3], 1)
+    assert parse((T.TARGET, 0.0), (T.NEGATION, 0.0), strong, other)[0] == pytest.approx([4.0 * 1.3 * 0.3])
+    assert parse((T.REPORT, 0.0), (T.LINK, 0.0), strong, other)[0] == pytest.approx([2.0])
+    assert parse(other, (T.THREAT, 3.0), other) == ([], 0) and parse(other, (T.INTENT, 0.0), (T.THREAT, 3.0), other) == ([3.0], 1)
+    assert T.parse([[(T.LINK, 0.0), strong, (T.TARGET, 0.0), strong, strong]], T.Composed()) == ([], 0)
+
+
+def test_toxicity_edges(spark):
+    """No documents, null ids, repeated rows, texts of one kind of word, a very long text, and columns that clash."""
+    bad = [(k, "you are a zonkish blarg, you know") for k in range(40)]
+    rows = [*bad, *((k, f"the w{k} is a nice w{k % 7} of many") for k in range(40, 200))]
+    columns = "doc_id long, text string, toxic int, score double, head string"
+    odd = [(None, "you zonkish blarg"), (500, "zonk " * 200_000), (500, "zonk " * 200_000), (501, "..."), (502, None)]
+    docs = spark.createDataFrame([(*x, 1, 0.5, "h") for x in [*rows, *odd]], columns)
+    labels = spark.createDataFrame([(k, int(k < 40), 1) for k in range(200)] + [(None, 1, 1), (3, None, 1), (3, 1, 1)], "doc_id long, toxic int, doc int")
+    scorer = toxicity.fit(docs, labels, evidence=1.0)
+    got = toxicity.score(docs, scorer).collect()
+    assert len(got) == 205 and toxicity.score(docs.limit(0), scorer).count() == 0
+    found = {}
+    for x in got:
+        found.setdefault(x.doc_id, []).append((x.score, x.predicted))
+    assert all(found[k][0][1] == (k < 40) for k in range(200)) and found[500][0] == found[500][1]
+    assert found[501] == found[502] and found[502][0][1] == 0 and found[None][0][0] > found[502][0][0]
+    assert toxicity.fit(docs.limit(0), labels).coefficients is None
 
 
 def test_lines(spark):
