@@ -1,10 +1,11 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Each document draws a hash-random key; within its source the keys are cut into ranges, the sizes of the ranges are summed
-on the executors, a running sum over these few sums gives each range its start, and a running sum inside the range
-gives each document its place. A source passes over its documents as often as its budget holds all of them, and once
-more up to the rest; the document at the cut gives part of its words, so the budget is met exactly. No range holds
-more than its share of a hot source, as the number of ranges follows the number of rows.
+Each document draws a hash-random key; within its source the keys are cut into ranges, and runs of ranges make blocks.
+Sizes are summed by range and by block on the executors. A place is the running sum of the blocks before, of the ranges
+before in the block, and of the documents before in the range, so no running sum passes over more than about
+RANGE_ROWS documents, BLOCK_RANGES ranges, or one row for a million documents of a source. A source passes over its
+documents as often as its budget holds all of them, and once more up to the rest; the document at the cut gives part of
+its words, so the budget is met exactly.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Documents of a range, on average.
-RANGE_ROWS = 4_000
+#: Documents of a range, and ranges of a block, on average.
+RANGE_ROWS, BLOCK_RANGES = 4_000, 256
 
 
 def word_count(text: Column) -> Column:
@@ -45,13 +46,13 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and the `extra` columns of `docs`.
+    """doc_id, size, source_size, target, taken, and the `extra` columns of `docs`, whatever their names.
 
     Null and empty texts have size 0 and are never taken. Null sources are one source. Rows with equal ids, null ids
     included, follow each other by size; equal rows may change places, which leaves the result the same. Reruns agree.
-    Without documents there are no rows.
+    Without documents there are no rows. An id that a third of all rows have falls in one range.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *extra)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *[F.col(c).alias(f"_x{k}") for k, c in enumerate(extra)])
     own = own.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     own = checkpoint(own)  # a narrow table: the texts are read once
     # the key's first 32 bits, cut into as many equal ranges as the source needs
@@ -60,17 +61,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     goal = targets(sizes.select("source", "source_size"), weights, share, most)
     facts = sizes.select(F.col("source").alias("s"), F.ceil(F.col("n") / RANGE_ROWS).alias("ranges")).join(goal.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     placed = own.join(facts, own["source"].eqNullSafe(facts["s"])).drop("s").withColumn("range", cut)
-    sums = placed.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
+    sums = placed.groupBy("source", "range").agg(F.sum("size").alias("words")).withColumn("block", F.floor(F.col("range") / BLOCK_RANGES))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
+    blocks = sums.groupBy("source", "block").agg(F.sum("words").alias("words"))
+    blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), running("words", before("source").orderBy("block")).alias("base"))
+    starts = sums.select("source", "block", F.col("range").alias("r"), running("words", before("source", "block").orderBy("range")).alias("inside"))
+    starts = starts.join(blocks, starts["source"].eqNullSafe(blocks["s"]) & (starts["block"] == blocks["b"])).select("s", "r", (F.col("base") + F.col("inside")).alias("start"))
     placed = placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["range"] == starts["r"])).drop("s", "r")
-    ahead = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.col("start") + F.coalesce(F.sum("size").over(ahead), F.lit(0))
+    place = F.col("start") + running("size", before("source", "range").orderBy("key", "doc_id", "size"))
     budget = F.floor("target")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - rounds * F.col("source_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - place))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *extra)
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_x{k}").alias(c) for k, c in enumerate(extra)])
 
 
 ORACLE = r"""
