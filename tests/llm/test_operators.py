@@ -122,20 +122,83 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def brute_chat(rows):
+    """(conv_id, turns, copies, text) of the conversations that are no prefix of another one."""
+    low = lambda v: (v is not None, v or 0 if not isinstance(v, str) else v)
+    own, alone = {}, []
+    for c, *turn in sorted(rows, key=lambda x: tuple(map(low, x[1:2])) + tuple((v is not None, v or "") for v in x[2:4])):
+        if c is None:
+            alone.append((None, [tuple(turn[1:3])]))
+        else:
+            own.setdefault(c, []).append(tuple(turn[1:3]))
+    every = [*own.items(), *alone]
+    whole = {}
+    for c, turns in every:
+        whole.setdefault(tuple(turns), []).append(c)
+    out = []
+    for turns, ids in whole.items():
+        if not any(len(x) > len(turns) and x[: len(turns)] == turns for x in whole):
+            text = "\n".join(f"<|im_start|>{r or 'unknown'}\n{t or ''}<|im_end|>" for r, t in turns)
+            out.append((min((c for c in ids if c is not None), default=None), len(turns), len(ids), text))
+    return out
+
+
 def test_chat(spark):
     talk = [("a", "x"), ("b", "y"), ("a", "z")]
-    rows = [(c, t, *m) for c, n in ((1, 1), (2, 2), (3, 3), (4, 3)) for t, m in enumerate(talk[:n])] + [(5, 0, "b", "x"), (6, 0, None, None), (None, 0, "a", "q")]
+    rows = [(c, t, *m) for c, n in ((1, 1), (2, 2), (3, 3), (4, 3)) for t, m in enumerate(talk[:n])] + [(5, 0, "b", "x"), (6, 0, None, None), (None, 0, "a", "q"), (None, 0, "a", "q"), (None, 1, "a", "x")]
     got = {r.conv_id: (r.n_turns, r.copies, r.rendered) for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {3, 5, 6, None} and got[3][:2] == (3, 2)
+    assert set(got) == {3, 5, 6, None} and got[3][:2] == (3, 2) and got[None][:2] == (1, 2)
     assert got[6][2] == "<|im_start|>unknown\n<|im_end|>"
 
 
+def test_chat_is_the_brute_force_collapse(spark):
+    """Ties, repeated rows, null turns, roles and texts, rows without an id, a long text, and columns that clash."""
+    r = random.Random(13)
+    rows = []
+    for c in range(60):
+        start = r.randrange(3)
+        for t in range(r.randrange(1, 6)):
+            rows.append((c, r.choice([t, t, None]) if c % 9 == 0 else t, r.choice(["user", "user", None]), f"{start} {t}" if r.random() < 0.9 else None))
+    rows += r.choices(rows, k=4) + [(None, r.randrange(2), "user", f"{r.randrange(3)} 0") for _ in range(9)] + [(99, 0, "user", "long " * 50_000)]
+    columns = "conv_id long, turn long, role string, text string, pos int, part long, copies long"
+    got = chat.format_conversations(spark.createDataFrame([(*x, 1, 2, 3) for x in rows], columns))
+    assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(map(str, brute_chat(rows)))
+    assert chat.format_conversations(spark.createDataFrame([], columns)).count() == 0
+
+
 def test_urls(spark):
     rows = ["HTTP://Example.COM/en/1", "http://www.example.com/en/1?q", "http://a.net/fr/#x", "http://a.net", "nothing", None, "http://x.org/en/"]
     got = urls.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), URL_RULES).orderBy("page_id").collect()
     assert [(r.host, r.rule, r.verdict) for r in got] == [("example.com", "example.com/en/", "block"), ("www.example.com", "www.example.com/en/", "allow"), ("a.net", "net/fr/", "block"), ("a.net", None, "allow"), ("", None, "allow"), ("", None, "allow"), ("x.org", None, "allow")]
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_urls_are_judged_as_by_brute_force(spark, block):
+    """Random rules in one trie and in several, against all rules one by one; clashing columns, repeated rows, a long URL."""
+    r = random.Random(14)
+    labels, segments = ["a", "b", "com", "net"], ["", "x", "xy", "y"]
+    host = lambda: ".".join(r.choices(labels, k=r.randrange(1, 4)))
+    path = lambda: "".join("/" + r.choice(segments) for _ in range(r.randrange(4)))
+    rules = [(r.choice(["allow", "block"]), r.choice(["", host(), host()]), path()) for _ in range(40)]
+    pages = [(k, f"http://{host()}{path()}{r.choice(['', '?q', '#x'])}") for k in range(300)] + [(None, "x://com/x"), (7, "x://com"), (7, "x://com"), (8, "x://a.com/" + "xy/" * 50_000), (9, ""), (10, None)]
+
+    def judged(url):
+        if not url or "://" not in url:
+            h = p = ""
+        else:
+            rest = url.split("://", 1)[1]
+            h = rest.split("/")[0].split("?")[0].split("#")[0]
+            p = rest[len(h) :].split("?")[0].split("#")[0]
+        fits = [(len(rh), len(rp), v == "block", rh + rp) for v, rh, rp in rules if (not rh or h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+        best = max(fits, default=None)
+        return (h, p, None, "allow") if best is None else (h, p, best[3], "block" if best[2] else "allow")
+
+    got = urls.filter_urls(spark.createDataFrame([(*x, "h", "p", "r", 1) for x in pages], "page_id long, url string, host string, path string, rule string, of_host int"), rules, block_rules=block)
+    assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(str((k, *judged(url))) for k, url in pages)
+    assert urls.filter_urls(got.sparkSession.createDataFrame([], "page_id long, url string"), rules).count() == 0
+    assert {(x.rule, x.verdict) for x in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), [], "block").collect()} == {(None, "block")}
+
+
 def test_media(spark):
     rows = texts()
     df = spark.createDataFrame([*rows, (99, "é" * 40000, None, None, 0, "")], DOCS)
