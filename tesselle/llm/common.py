@@ -20,23 +20,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or that of the context. Where neither is set, a local master (as in tests) gets
+    a folder of its own, and a cluster an error: its executors don't see each other's disks."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """A reliable checkpoint in the shared folder."""
+    folder, sc = shared_folder(df.sparkSession), df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-#: Rows that go to a Python worker at a time. Texts may be long, and a worker holds a batch as Arrow and as objects.
-BATCH_ROWS = 512
+#: Rows and bytes that go to a Python worker at a time. Texts may be long, and a worker holds a batch as Arrow and as objects.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bounds the batches of Python stages in this session, unless they are smaller already."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Bounds the batches of Python stages in rows and in bytes (a single row may be larger), unless they are smaller
+    already. The bounds are settings of the session, as Spark reads them when the plan runs, so they stay set; they
+    change no result."""
+    conf = df.sparkSession.conf
+    for key, most, default in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, str((1 << 31) - 1))):
+        value = str(conf.get(f"spark.sql.execution.arrow.{key}", default)).lower().removesuffix("b")
+        if not (value.isdigit() and 0 < int(value) <= most):
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
 
 
