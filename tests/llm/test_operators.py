@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ import pytest
 import corpus_pipeline
 from tesselle.llm import chat, langid, media, minhash, mixing, toxicity, urls
 from tesselle.llm.components import components
+from tesselle.llm import decontaminate
 from tesselle.llm.decontaminate import find_contamination
 from tesselle.llm.exact_substring import remove_repeats
 from tesselle.llm.line_dedup import blocks, dedup_lines, patience
@@ -258,6 +261,89 @@ def test_decontamination(spark):
     assert (got[0].item_id, got[0].similarity, got[7].item_id, got[8].n_windows >= 2) == (7, 1.0, 8, True)
 
 
+def brute_contamination(docs, bench, size=5, least=0.8):
+    """id: the similarities of all windows that reach the limit, by comparing every window with every item."""
+    split = lambda x: x.lower().translate(str.maketrans({c: " " for c in string.punctuation})).split()
+    bag = lambda w, n: Counter(tuple(w[p : p + n]) for p in range(len(w) - n + 1))
+    found = {}
+    for k, text in docs:
+        own, hits = split(text or ""), []
+        for item, other in ((i, split(x)) for i, x in bench if i is not None and x and split(x)):
+            n = min(len(other), len(own))
+            shingle = min(size, n)
+            want = bag(other, min(size, len(other)))
+            for p in range(len(own) - n + 1) if n else ():
+                have = bag(own[p : p + n], shingle)
+                s = sum((have & want).values()) / sum((have | want).values())
+                if s >= least - 1e-9:
+                    hits.append((s, item, (len(other), p)))
+        found[k] = hits
+    return found
+
+
+def test_decontamination_is_the_brute_force_search(spark):
+    """Items of 3 to 60 words, whole, edited, cut, repeated and upper case; recall of windows is measured. Then the edges."""
+    r = random.Random(15)
+    say = lambda n: [r.choice(WORDS) for _ in range(n)]
+    bench = [(k, " ".join(say(n))) for k, n in enumerate([3, 5, 6, 8, 10, 14, 14, 14, 20, 20, 25, 30, 30, 40, 60])]
+    bench += [(90, bench[5][1]), (91, None), (92, " .. "), (None, bench[0][1])]
+    docs = []
+    for k in range(220):
+        w = r.choice(bench[:15])[1].split()
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            at = r.choice([0, len(w) - 1, r.randrange(len(w))])
+            w[at : at + r.randrange(2)] = r.choice([[], say(1)])
+            w = w or say(1)
+        if k % 9 == 0:
+            w = (w * 3)[: r.randrange(1, 3 * len(w))]
+        docs.append((k, "; ".join(say(r.randrange(30)) + w + say(r.randrange(30))).upper() if k % 2 else " ".join(w)))
+    docs += [(500, None), (500, None), (501, ""), (502, "?!"), (None, bench[5][1]), (503, " ".join(say(60_000)))]
+    want = brute_contamination([x for x in docs if x[0] is not None and x[0] < 503], bench)
+    columns = "doc_id long, text string, contaminated int, n_windows string, similarity int, item_id string"
+    given = spark.createDataFrame([(*x, 1, "n", 2, "i") for x in docs], columns)
+    items = spark.createDataFrame([(*x, 3) for x in bench], "item_id long, text string, size int")
+    got = {x.doc_id: x for x in find_contamination(given, items, carry=("similarity",)).withColumnRenamed("similarity", "s").collect()}
+    assert len(got) == len(docs) - 1 and got[None].contaminated and not got[503].contaminated
+    windows = {k: len({at for _, _, at in hits}) for k, hits in want.items()}
+    every = sum(windows.values())
+    assert sum(got[k].n_windows for k in want) >= 0.99 * every and every > 150
+    for k, hits in want.items():
+        assert got[k].n_windows <= windows[k] and got[k].contaminated == bool(got[k].n_windows)
+        if hits and got[k].n_windows == windows[k]:
+            assert got[k].item_id == min(i for s, i, _ in hits if s == max(hits)[0])
+    assert find_contamination(given.limit(0), items).count() == 0
+    assert not any(x.contaminated for x in find_contamination(given, items.limit(0)).collect())
+
+
+def test_benchmark_of_several_passes(spark, monkeypatch):
+    r = random.Random(16)
+    bench = [(k, " ".join(r.choice(WORDS) for _ in range(12))) for k in range(9)]
+    docs = spark.createDataFrame([(k, f"{x} and {x}") for k, x in bench] + [(99, "no such words")], "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    whole = sorted(find_contamination(docs, items).collect(), key=str)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    assert sorted(find_contamination(docs, items).collect(), key=str) == whole
+    assert [(x.item_id, x.n_windows >= 2) for x in sorted(whole)[:9]] == [(k, True) for k, _ in bench]
+
+
+def test_lookup_finds_all_within_the_radius():
+    rng = np.random.default_rng(17)
+    index = decontaminate.Index(list(range(300)), [" ".join(f"w{x}" for x in rng.integers(0, 50, 9)) for _ in range(300)], 5)
+    (group,) = index.groups.values()
+    group["prints"][:] = rng.integers(0, 256, group["prints"].shape)
+    index_of = {length: g for length, g in index.groups.items()}
+    assert len(index_of) == 1
+    values = np.arange(256, dtype=np.uint8)
+    group["lists"] = []
+    for block, most in enumerate(decontaminate.NEAR):
+        value, who = np.nonzero(np.bitwise_count(values[:, None] ^ group["prints"][None, :, block]) <= most)
+        group["lists"].append((np.searchsorted(value, np.arange(257)), who.astype(np.int32)))
+    asked = np.concatenate([rng.integers(0, 256, (200, 8)), group["prints"][:100] ^ (1 << rng.integers(0, 12, (100, 8))).astype(np.uint8)]).astype(np.uint8)
+    got = {(w, k) for window, item in index.lookup(group, asked) for w, k in zip(window.tolist(), item.tolist(), strict=True)}
+    apart = np.bitwise_count(asked[:, None] ^ group["prints"][None]).sum(axis=2)
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(apart <= decontaminate.RADIUS)), strict=True)) and len(got) > 100
+
+
 def test_language(spark):
     r = random.Random(5)
     alphabet = {"aa": "abcd", "bb": "cdef", "cc": "wxyz", "dd": "uvwx"}
