@@ -3,10 +3,11 @@
 Bytes are stored as quantised DCT coefficients, the unit in which JPEG is lossless: each block holds 63 bytes as AC
 coefficients of 128 to 255 with either sign, and a DC coefficient of 0. The writer makes a 4:2:0 colour image in scans
 of spectral selection (DC apart from AC, a component at a time) and successive approximation (the lowest bit in a scan
-of its own). The reader takes any progressive JPEG of 8 bits a sample
-without restart markers: it adds up the scans in coefficient arrays, inverts the transform in numpy, upsamples chroma
-and gives full-resolution RGB. Where a scan's codes have a fixed width, which holds for raw correction bits in any
-file, it is read as an array, else code by code.
+of its own).
+The reader takes any progressive JPEG of 8 bits a sample, with or without restart markers: it adds up the scans in
+coefficient arrays, inverts the transform in numpy, upsamples chroma and stores full-resolution RGB tensors. Where a
+scan's codes have a fixed width, which holds for raw correction bits in any file, it is read as an array, else code by
+code.
 """
 
 from __future__ import annotations
@@ -22,10 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 #: The longest run of blocks that one end-of-band code can stand for.
 LONGEST_RUN = 32767
 COMPONENTS = ((1, 2, 2), (2, 1, 1), (3, 1, 1))
+#: The reader refuses larger images than this, with an error in the row, as a broken header may claim any size.
+MOST_PIXELS = 1 << 28
 
 
 def _zigzag() -> np.ndarray:
@@ -250,7 +256,7 @@ def read_coefficients(data: bytes) -> tuple[int, int, list[dict], bytes]:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     at, comment, tables, quant, parts = 2, b"", {}, {}, []
-    height = width = 0
+    height = width = interval = 0
     while True:
         found = MARKER.search(data, at)
         if not found:
@@ -275,11 +281,15 @@ def read_coefficients(data: bytes) -> tuple[int, int, list[dict], bytes]:
                 body = body[17 + n :]
         elif marker == 0xC2:
             depth, height, width, n = struct.unpack_from(">BHHB", body)
-            if depth != 8 or n not in (1, 3):
+            if depth != 8 or n not in (1, 3) or len(body) < 6 + 3 * n:
                 raise ValueError("only 8 bits and 1 or 3 components are read")
+            if height * width > MOST_PIXELS:
+                raise ValueError("the image is too large")
             parts = [{"id": body[6 + 3 * k], "h": body[7 + 3 * k] >> 4, "v": body[7 + 3 * k] & 15, "q": body[8 + 3 * k]} for k in range(n)]
             if n == 1:
                 parts[0] |= {"h": 1, "v": 1}
+            if not all(p["h"] and p["v"] for p in parts):
+                raise ValueError("a component of no size")
             most_h, most_v = max(p["h"] for p in parts), max(p["v"] for p in parts)
             columns, rows = -(-width // (8 * most_h)), -(-height // (8 * most_v))
             for p in parts:
@@ -290,32 +300,41 @@ def read_coefficients(data: bytes) -> tuple[int, int, list[dict], bytes]:
                 p["units"] = np.stack([(r * p["v"] + y) * p["columns"] + c * p["h"] + x for y in range(p["v"]) for x in range(p["h"])], axis=1)
                 own = np.arange(p["own_columns"] * p["own_rows"])
                 p["blocks"] = own // p["own_columns"] * p["columns"] + own % p["own_columns"]
-        elif 0xC0 <= marker <= 0xCF or marker == 0xDD and body != b"\0\0":
-            raise ValueError("only progressive Huffman files without restarts are read")
+        elif marker == 0xDD:
+            interval = struct.unpack(">H", body)[0]
+        elif 0xC0 <= marker <= 0xCF:
+            raise ValueError("only progressive Huffman files are read")
         elif marker == 0xDA:
             chosen = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
             first, last, how = body[1 + 2 * body[0] :][:3]
             own = [p for p in parts if p["id"] in chosen]
             after = MARKER.search(data, at)
             end = after.start() if after else len(data)
-            bits = Bits(data[at:end].replace(b"\xff\x00", b"\xff"))
-            at = end
             for p in own:
                 p["quant"] = quant[p["q"]]
             orders = [p["units"] for p in own] if len(own) > 1 else [p["blocks"][:, None] for p in own]
-            if first == 0:
-                arrays = [p["array"] for p in own]
-                if how >> 4:
-                    dc_refine(bits, arrays, orders, how & 15)
+            if not own or not len(orders[0]):
+                raise ValueError("a scan of nothing")
+            # each restart interval is a stream of bits of its own
+            step = interval or len(orders[0])
+            streams = RESTART.split(data[at:end]) if interval else [data[at:end]]
+            at = end
+            if len(streams) < -(-len(orders[0]) // step):
+                raise ValueError("the scan ends early")
+            p = own[0]
+            whole = len(p["blocks"]) == len(p["array"])
+            array = p["array"] if whole or first == 0 else p["array"][p["blocks"]]
+            for lo, stream in zip(range(0, len(orders[0]), step), streams, strict=False):
+                bits = Bits(stream.replace(b"\xff\x00", b"\xff"))
+                units = [order[lo : lo + step] for order in orders]
+                if first:
+                    (ac_refine if how >> 4 else ac_first)(bits, tables[16 + (chosen[p["id"]] & 15)], array[lo : lo + step], first, last, how & 15)
+                elif how >> 4:
+                    dc_refine(bits, [x["array"] for x in own], units, how & 15)
                 else:
-                    dc_first(bits, [tables[chosen[p["id"]] >> 4] for p in own], arrays, orders, how & 15)
-            else:
-                p = own[0]
-                whole = len(p["blocks"]) == len(p["array"])
-                array = p["array"] if whole else p["array"][p["blocks"]]
-                (ac_refine if how >> 4 else ac_first)(bits, tables[16 + (chosen[p["id"]] & 15)], array, first, last, how & 15)
-                if not whole:
-                    p["array"][p["blocks"]] = array
+                    dc_first(bits, [tables[chosen[x["id"]] >> 4] for x in own], [x["array"] for x in own], units, how & 15)
+            if first and not whole:
+                p["array"][p["blocks"]] = array
 
 
 def to_rgb(height: int, width: int, parts: list[dict]) -> np.ndarray:
@@ -357,7 +376,7 @@ def pad(text: str | None) -> tuple[int, bytes]:
 
 
 #: Rows that a task hands on at a time: images of long texts are large.
-HANDED_ON = 64
+HANDED_ON = 32
 
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,33 +392,49 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 padded = [pad(x) for x in frame["text"].iloc[lo : lo + HANDED_ON]]
                 yield pd.DataFrame({"doc_id": ids[lo : lo + HANDED_ON], "n_bytes": [n for n, _ in padded], "media": [write_jpeg(x) for _, x in padded]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
-def read_media(media: DataFrame, tensors: bool = True) -> DataFrame:
-    """The columns of `media` but the files, and payload, media_bytes, media_sha256, height, width, feature; with
-    `tensors`, rgb too: height x width x 3 bytes, row-major. Files that the reader can't take raise an error."""
+def read_image(data: bytes | None) -> tuple:
+    """payload, media_bytes, media_sha256, height, width, feature, rgb and error of a file; its values are null where it
+    is null or can't be read, and the payload is null where the file has no comment with its length."""
+    if data is None:
+        return None, None, None, None, None, None, None, "no file"
+    size, name = len(data), hashlib.sha256(data).hexdigest()
+    try:
+        height, width, parts, comment = read_coefficients(data)
+        if not height or not width or any("quant" not in p for p in parts):
+            raise ValueError("no whole image")
+        rgb = to_rgb(height, width, parts)
+        payload = payload_of(parts, comment) if comment.isdigit() else None
+    except (ValueError, LookupError, TypeError, MemoryError, struct.error) as broken:
+        return None, size, name, None, None, None, None, f"{type(broken).__name__}: {broken}"
+    return payload, size, name, height, width, feature(rgb), rgb.tobytes(), None
+
+
+def read_media(media: DataFrame) -> DataFrame:
+    """doc_id and n_bytes of `media`, and payload, media_bytes, media_sha256, height, width, feature, rgb (the tensor:
+    height x width x 3 bytes, row-major) and error for each row.
+
+    A file that is null or that the reader can't take has null results and an error, the others go on. Repeated rows give
+    repeated results; other columns are ignored; no rows give none.
+    """
+    names = ["payload", "media_bytes", "media_sha256", "height", "width", "feature", "rgb", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lo in range(0, len(frame), HANDED_ON):
                 part = frame.iloc[lo : lo + HANDED_ON]
-                out = []
-                for data in part["media"]:
-                    height, width, parts, comment = read_coefficients(data)
-                    rgb = to_rgb(height, width, parts)
-                    out.append((payload_of(parts, comment), len(data), hashlib.sha256(data).hexdigest(), height, width, feature(rgb), rgb.tobytes() if tensors else None))
-                names = ["payload", "media_bytes", "media_sha256", "height", "width", "feature", "rgb"]
-                found = pd.DataFrame(out, columns=names)
-                yield pd.concat([part[["doc_id", "n_bytes"]].reset_index(drop=True), found if tensors else found.drop(columns="rgb")], axis=1)
+                found = pd.DataFrame([read_image(x) for x in part["media"]], columns=names, dtype=object)
+                yield pd.concat([part[["doc_id", "n_bytes"]].astype("Int64").reset_index(drop=True), found], axis=1)
 
-    shape = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, height int, width int, feature string"
-    return media.mapInPandas(run, shape + ", rgb binary" * tensors)
+    rows = small_batches(media).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media")
+    return rows.mapInPandas(run, "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, height int, width int, feature string, rgb binary, error string")
 
 
 def digest(read: DataFrame) -> DataFrame:
-    payload = F.col("payload")
+    """What read_media gives, with digests in place of payload and tensor; of null ones they are null."""
+    payload, rgb = F.col("payload"), F.col("rgb")
     tail = F.expr("substring(payload, -64, 64)")
-    return read.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "height", "width")
-
+    return read.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "height", "width", F.octet_length(rgb).cast("long").alias("rgb_bytes"), F.sha2(rgb, 256).alias("rgb_sha256"), "error")

@@ -39,7 +39,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digest(media.read_media(media.write_media(table(spark, sf_dir, "documents")), tensors=False))
+    return media.digest(media.read_media(media.write_media(table(spark, sf_dir, "documents"))))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
