@@ -80,3 +80,45 @@ def ring_distance(a: Points, b: Points) -> float:
         edges = list(zip(two, two[1:] + two[:1], strict=True))
         best = min([best, *(segment_distance(p, u, v) for p in one for u, v in edges)])
     return best
+
+
+def triangles_meet(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether pairs of triangles (n x 3 x 2, each with area) meet as closed sets: no edge of either separates them."""
+    apart = np.zeros(len(p), bool)
+    for shape in (p, q):
+        for k in range(3):
+            edge = shape[:, (k + 1) % 3] - shape[:, k]
+            normal = np.stack([edge[:, 1], -edge[:, 0]], axis=1)[:, None]
+            one, two = (p * normal).sum(axis=2), (q * normal).sum(axis=2)
+            apart |= (one.max(axis=1) < two.min(axis=1)) | (two.max(axis=1) < one.min(axis=1))
+    return ~apart
+
+
+def common_areas(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Areas that pairs of counter-clockwise triangles have in common: each is cut by the other's edges in turn."""
+    shape = p.copy()
+    size = np.full(len(p), 3)
+    for k in range(3):
+        start, edge = q[:, k, None], (q[:, (k + 1) % 3] - q[:, k])[:, None]
+        corners = shape.shape[1]
+        number = np.arange(corners)
+        real = number < size[:, None]
+        following = np.where(number + 1 < size[:, None], number + 1, 0)
+        off = shape - start
+        here = edge[..., 0] * off[..., 1] - edge[..., 1] * off[..., 0]
+        there = np.take_along_axis(here, following, axis=1)
+        after = np.take_along_axis(shape, following[..., None], axis=1)
+        crossed = real & (((here > 0) & (there < 0)) | ((here < 0) & (there > 0)))
+        share = np.where(crossed, here, 0) / np.where(crossed, here - there, 1)
+        cut = shape + share[..., None] * (after - shape)
+        kept = np.stack([real & (here >= 0), crossed], axis=2).reshape(len(p), -1)
+        points = np.stack([shape, cut], axis=2).reshape(len(p), -1, 2)
+        order = np.argsort(~kept, axis=1, kind="stable")[:, : corners + 1]
+        shape = np.take_along_axis(points, order[..., None], axis=1)
+        size = kept.sum(axis=1)
+    real = np.arange(shape.shape[1]) < size[:, None]
+    shape = np.where(real[..., None], shape, shape[:, :1])  # corners that aren't there repeat the first one
+    shape = shape - shape[:, :1]
+    turned = np.roll(shape, -1, axis=1)
+    area = (shape[..., 0] * turned[..., 1] - shape[..., 1] * turned[..., 0]).sum(axis=1) / 2
+    return np.where(size > 2, np.abs(area), 0.0)

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.boxes import intersects
 from ..functions.shapes import hilbert
+from .spatial_join import spatial_join
 
 SAMPLE = 100_000
 
@@ -125,8 +127,6 @@ def strip_tiles(df: DataFrame, per_tile: int) -> DataFrame:
 
 
 def to_tiles(df: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Each object with every tile that it meets. The tile table is one row per few thousand objects: its size is read
-    before it is broadcast, and beyond the limit Spark chooses the join."""
-    t = tiles.select("tile_id", *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
-    small = t.count() <= 1_000_000
-    return df.join(F.broadcast(t) if small else t, (F.col("x0") <= F.col("tx1")) & (F.col("tx0") <= F.col("x1")) & (F.col("y0") <= F.col("ty1")) & (F.col("ty0") <= F.col("y1"))).drop("tx0", "ty0", "tx1", "ty1")
+    """Each object with every tile that it meets: the tiled join, so neither a nested loop nor a broadcast of the tiles."""
+    pairs = spatial_join(df, tiles.select("tile_id", "x0", "y0", "x1", "y1"), intersects)
+    return pairs.select(*[F.col(f"a_{c}").alias(c) for c in df.columns], F.col("b_tile_id").alias("tile_id"))

@@ -1,15 +1,16 @@
-"""Joins of simple polygons: the tiled join finds pairs whose boxes meet, exact geometry decides in Arrow batches."""
+"""Joins of simple polygons: each is cut into triangles once, the tiled join finds pairs whose boxes meet, and exact geometry
+decides on whole Arrow batches of them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, polygons
-from ..functions.shapes import envelope
 from .spatial_join import spatial_join
 
 MEASURED = "id1 long, id2 long, area1 double, area2 double, inter double, distance double, meets boolean"
@@ -28,44 +29,71 @@ PREDICATES = {
 }
 
 
-def measures(a: DataFrame, b: DataFrame, d: float = 0.0) -> DataFrame:
+def pieces(df: DataFrame) -> DataFrame:
+    """id, parts (triangles, 6 numbers each), ring (the opened ring, 2 numbers a corner), area and the box of each
+    polygon (id, ring). Each polygon is cut once, before it meets any other. Rings that are null or empty, or cross
+    or touch themselves, are dropped."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for id_, flat in zip(frame["id"], frame["flat"], strict=True):
+                points = list(zip(flat[::2].tolist(), flat[1::2].tolist(), strict=True))
+                try:
+                    parts = [p for p in polygons.triangles(points) if len(p) == 3 and polygons.polygon_area(p) > 0]
+                except ValueError:
+                    continue
+                ring = polygons.opened(points) or points[:1]
+                corners = np.array([p if polygons.cross(*p) > 0 else p[::-1] for p in parts]).reshape(-1)
+                area = sum(polygons.polygon_area(p) for p in parts)
+                x, y = zip(*ring, strict=True)
+                out.append((id_, corners, np.array(ring).reshape(-1), area, min(x), min(y), max(x), max(y)))
+            yield pd.DataFrame(out, columns=["id", "parts", "ring", "area", "x0", "y0", "x1", "y1"])
+
+    flat = F.flatten(F.transform("ring", lambda v: F.array(v["x"].cast("double"), v["y"].cast("double")))).alias("flat")
+    whole = F.forall("ring", lambda v: v["x"].isNotNull() & v["y"].isNotNull())
+    return df.filter(F.size("ring") > 0).filter(whole).select("id", flat).mapInPandas(run, "id long, parts array<double>, ring array<double>, area double, x0 double, y0 double, x1 double, y1 double")
+
+
+def measures(a: DataFrame, b: DataFrame, d: float = 0.0, distances: bool = True) -> DataFrame:
     """id1, id2, area1, area2, inter, distance, meets of each pair (id, ring) whose boxes are within d of each other.
 
     The common area is set to the smaller area where it differs from it by a rounding error. Polygons are plain rings
-    without holes. Rings that are null or empty, or cross or touch themselves, meet nothing: their rows are dropped.
+    without holes. Without `distances`, that of pairs that don't meet is null. All pairs of pieces in a batch are
+    measured together.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            known: dict[bytes, tuple | None] = {}
-
-            def shape(ring) -> tuple | None:
-                points = [(float(v["x"]), float(v["y"])) for v in ring]
-                key = repr(points).encode()
-                if key not in known:
-                    try:
-                        pieces = polygons.triangles(points)
-                        known[key] = pieces, polygons.opened(points) or points[:1], sum(polygons.polygon_area(p) for p in pieces)
-                    except ValueError:
-                        known[key] = None
-                return known[key]
-
-            out = []
-            for id1, id2, p, q in zip(frame["a_id"], frame["b_id"], frame["a_ring"], frame["b_ring"], strict=True):
-                shapes = shape(p), shape(q)
-                if None in shapes:
-                    continue
-                (one, ring1, area1), (two, ring2, area2) = shapes
-                meets = polygons.intersects(one, two)
-                inter = polygons.intersection_area(one, two) if meets else 0.0
-                slack = polygons.SAME * max(area1, area2)
-                inter = 0.0 if inter <= slack else next((x for x in sorted((area1, area2)) if abs(inter - x) <= slack), inter)
-                out.append((id1, id2, area1, area2, inter, 0.0 if meets else polygons.ring_distance(ring1, ring2), meets))
-            yield pd.DataFrame(out, columns=["id1", "id2", "area1", "area2", "inter", "distance", "meets"])
+            one, two = ([x.reshape(-1, 3, 2) for x in frame[c]] for c in ("a_parts", "b_parts"))
+            n, m = (np.array([len(x) for x in side], np.int64) for side in (one, two))
+            pair = np.repeat(np.arange(len(frame)), n * m)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            none = np.empty((0, 3, 2))
+            p = np.concatenate([none, *one])[(np.cumsum(n) - n)[pair] + at // np.maximum(m[pair], 1)]
+            q = np.concatenate([none, *two])[(np.cumsum(m) - m)[pair] + at % np.maximum(m[pair], 1)]
+            near = ((p.min(axis=1) <= q.max(axis=1)) & (q.min(axis=1) <= p.max(axis=1))).all(axis=1)
+            pair, p, q = pair[near], p[near], q[near]
+            met = polygons.triangles_meet(p, q)
+            meets = np.bincount(pair[met], minlength=len(frame)) > 0
+            inter = np.bincount(pair[met], polygons.common_areas(p[met], q[met]), minlength=len(frame))
+            area1, area2 = frame["a_area"].to_numpy(), frame["b_area"].to_numpy()
+            distance = np.where(meets, 0.0, np.nan)
+            for k in np.flatnonzero(~meets).tolist():
+                ring1, ring2 = (list(zip(x[::2].tolist(), x[1::2].tolist(), strict=True)) for x in (frame["a_ring"].iat[k], frame["b_ring"].iat[k]))
+                if not n[k] or not m[k]:  # one of them has no area
+                    shapes = [[tuple(map(tuple, t)) for t in side[k].tolist()] or [ring] for side, ring in ((one, ring1), (two, ring2))]
+                    meets[k] = polygons.intersects(*shapes)
+                if meets[k] or distances:
+                    distance[k] = 0.0 if meets[k] else polygons.ring_distance(ring1, ring2)
+            slack = polygons.SAME * np.maximum(area1, area2)
+            inter[inter <= slack] = 0.0
+            for area in (np.maximum(area1, area2), np.minimum(area1, area2)):
+                inter = np.where((inter > 0) & (np.abs(inter - area) <= slack), area, inter)
+            yield pd.DataFrame({"id1": frame["a_id"], "id2": frame["b_id"], "area1": area1, "area2": area2, "inter": inter, "distance": distance, "meets": meets})
 
-    boxed = lambda df: df.filter(F.size("ring") > 0).select("id", "ring", *envelope(F.col("ring")))
-    near = spatial_join(boxed(a), boxed(b), lambda p, q: boxes.within_distance(p, q, d), d)
-    return near.select("a_id", "b_id", "a_ring", "b_ring").mapInPandas(run, MEASURED)
+    near = spatial_join(pieces(a), pieces(b), lambda p, q: boxes.within_distance(p, q, d), d)
+    return near.select(*[f"{s}_{c}" for s in "ab" for c in ("id", "parts", "ring", "area")]).mapInPandas(run, MEASURED)
 
 
 def polygon_join(a: DataFrame, b: DataFrame, predicate: str, d: float = 0.0) -> DataFrame:
@@ -74,7 +102,7 @@ def polygon_join(a: DataFrame, b: DataFrame, predicate: str, d: float = 0.0) ->
         raise ValueError(f"no such predicate: {predicate}")
     if d < 0 or predicate == "st_dwithin" and d == 0:
         raise ValueError("the distance must be positive")
-    found = measures(a, b, d).filter(PREDICATES[predicate].format(d=d))
+    found = measures(a, b, d, predicate in ("st_disjoint", "st_dwithin")).filter(PREDICATES[predicate].format(d=d))
     union = F.col("area1") + F.col("area2") - F.col("inter")
     both = F.col("area1") + F.col("area2")
     return found.select("id1", "id2", "area1", "area2", F.col("inter").alias("intersect_area"), union.alias("union_area"), F.when(union > 0, F.col("inter") / union).otherwise(0.0).alias("jaccard"), F.when(both > 0, 2 * F.col("inter") / both).otherwise(0.0).alias("dice"), "distance")

@@ -3,54 +3,86 @@
 Boxes are copied to the grid cells that they cover, both sides meet in an equi-join on the cell, the exact predicate runs on
 what is left, and of the cells that a pair shares only the one with the lower-left corner of the common part keeps it. So
 there is no shuffle to remove doubles, and no nested loop.
+
+Grids come in levels, each with cells 4 times as wide as the one before. A box belongs to the finest level whose cells are as wide as
+itself, so it covers at most 4 cells there, and it is also copied to the coarser levels that the other side has boxes of. A
+pair meets at the coarser level of its two boxes. So neither a few wide boxes nor clusters of small ones make cells with
+more candidates than there are boxes about as near as they are wide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions.boxes import Box
+from .durable import durable
 
 BOX = ("x0", "y0", "x1", "y1")
-#: Objects of either side that a cell should hold, and the most cells along an axis that one object may take.
-PER_CELL, SPREAD = 64, 64
+#: Levels finer than this share of the whole space aren't used: boxes of no size go there.
+FINEST = 2.0**-20
+
+
+def _width(df: DataFrame, d: float) -> Column:
+    return F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double") + F.lit(2.0 * d)
 
 
-def cell_size(a: DataFrame, b: DataFrame, d: float) -> float:
-    """A cell about as wide as needed for PER_CELL objects, and no smaller than 1/SPREAD of the widest one."""
-    both = a.select(*BOX).unionByName(b.select(*BOX)).dropna()
-    row = both.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.count("*"), F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()
-    if not row[4]:
-        return 1.0
-    area = max(1e-9, float(row[2] - row[0])) * max(1e-9, float(row[3] - row[1]))
-    return max((area * PER_CELL / row[4]) ** 0.5, (float(row[5]) + 2 * d) / SPREAD, 1e-9)
+def _level(width: Column, least: float) -> Column:
+    return F.ceil(F.log(F.greatest(width, F.lit(least))) / F.lit(math.log(4.0))).cast("int")
 
 
-def _tiled(df: DataFrame, prefix: str, cell: float, d: float) -> DataFrame:
-    named = df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
+def levels(a: DataFrame, b: DataFrame, d: float) -> tuple[float, list[int], list[int]]:
+    """The least width that counts, and the levels that either side has boxes of: a handful of numbers."""
+    both = a.select(*BOX, _width(a, d).alias("w"), F.lit(0).alias("side")).union(b.select(*BOX, _width(b, 0).alias("w"), F.lit(1).alias("side"))).dropna()
+    whole = both.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+    if whole[0] is None:
+        return 1.0, [], []
+    least = max(float(whole[2] - whole[0]), float(whole[3] - whole[1]), float(d), 1e-9) * FINEST
+    found = both.select("side", _level(F.col("w"), least).alias("level")).distinct().collect()
+    return least, *(sorted(x.level for x in found if x.side == side) for side in (0, 1))
+
+
+def _tiled(df: DataFrame, prefix: str, d: float, place: Column) -> DataFrame:
+    """Copies of each box for the places (kind, level, size) that it takes, and for each cell that it covers there."""
+    placed = df.withColumn("p", F.explode(place)).select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns], "p.*")
     x0, y0, x1, y1 = Box(prefix).grown(d)
-    at = lambda v: F.floor(v / F.lit(cell)).cast("long")
-    return named.withColumn("cx", F.explode(F.sequence(at(x0), at(x1)))).withColumn("cy", F.explode(F.sequence(at(y0), at(y1))))
+    at = lambda v: F.floor(v / F.col("size")).cast("long")
+    return placed.withColumn("cx", F.explode(F.sequence(at(x0), at(x1)))).withColumn("cy", F.explode(F.sequence(at(y0), at(y1))))
 
 
-def spatial_join(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Column], d: float = 0.0, cell: float | None = None) -> DataFrame:
+def spatial_join(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Column], d: float = 0.0, cell: float | None = None, on: Sequence[str] = ()) -> DataFrame:
     """All pairs whose boxes, the first grown by d, meet and fulfil the predicate; columns as a_... and b_....
 
-    Both sides need x0, y0, x1, y1. Rows with a null among these meet nothing; repeated rows make repeated pairs.
+    Both sides need x0, y0, x1, y1. Rows with a null among these meet nothing; repeated rows make repeated pairs. Columns
+    named by `on` must be equal and are part of the join's key. A given `cell` makes a single grid of it.
     """
-    if cell is None:
-        cell = cell_size(a, b, d)
-    whole = lambda df: df.dropna(subset=list(BOX))
+    a, b = a.dropna(subset=list(BOX)), b.dropna(subset=list(BOX))
     one, two = Box("a_"), Box("b_")
     x0, y0, x1, y1 = one.grown(d)
-    pairs = _tiled(whole(a), "a_", cell, d).join(_tiled(whole(b), "b_", cell, 0.0), ["cx", "cy"])
+    spot = lambda kind, level, size: F.struct(F.lit(kind).alias("kind"), level.alias("level"), size.cast("double").alias("size"))
+    if cell is not None:
+        first = second = F.array(spot(1, F.lit(0), F.lit(float(cell))))
+    else:
+        least, has_a, has_b = levels(a, b, d)
+        own_a, own_b = _level(_width(a, d), least), _level(_width(b, 0), least)
+        size = lambda level: F.pow(F.lit(4.0), level)
+        coarser = lambda kind, has, than, strict: [F.when(F.lit(x) > than if strict else F.lit(x) >= than, spot(kind, F.lit(x), F.lit(4.0**x))) for x in has]
+        # kind 1: the first box is as wide as the cells, or both are; kind 2: only the second is
+        first = F.array_compact(F.array(spot(1, own_a, size(own_a)), *coarser(2, has_b, own_a, True)))
+        second = F.array_compact(F.array(spot(2, own_b, size(own_b)), *coarser(1, has_a, own_b, False)))
+    keys = ["kind", "level", "size", "cx", "cy"]
+    left, right = _tiled(a, "a_", d, first), _tiled(b, "b_", 0.0, second)
+    for c in on:
+        keys.append(f"on_{c}")
+        left, right = left.withColumn(f"on_{c}", F.col(f"a_{c}")), right.withColumn(f"on_{c}", F.col(f"b_{c}"))
     meet = (x0 <= two.x1) & (two.x0 <= x1) & (y0 <= two.y1) & (two.y0 <= y1)
-    once = (F.floor(F.greatest(x0, two.x0) / F.lit(cell)) == F.col("cx")) & (F.floor(F.greatest(y0, two.y0) / F.lit(cell)) == F.col("cy"))
-    return pairs.filter(meet & once & predicate(one, two)).drop("cx", "cy")
+    corner = lambda v: F.floor(v / F.col("size"))
+    once = (corner(F.greatest(x0, two.x0)) == F.col("cx")) & (corner(F.greatest(y0, two.y0)) == F.col("cy"))
+    return left.join(right, keys).filter(meet & once & predicate(one, two)).drop(*keys)
 
 
 def self_join(a: DataFrame, predicate: Callable[[Box, Box], Column], unique: bool = True, d: float = 0.0) -> DataFrame:
@@ -72,11 +104,27 @@ def nearest(a: DataFrame, b: DataFrame, k: int, bound: float) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def disjoint(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All pairs whose boxes don't meet, whatever their distance; columns as a_... and b_.... There are about as many as rows of
+    a times rows of b, so this is a nested loop by nature; `disjoint_counts` needs none."""
+    named = lambda df, prefix: df.dropna(subset=list(BOX)).select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
+    return named(a, "a_").crossJoin(named(b, "b_")).filter(~boxes.intersects(Box("a_"), Box("b_")))
+
+
+def disjoint_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """id, disjoint: for each box of a, how many of b it doesn't meet. All of b but those that the tiled join finds."""
+    a, b = a.dropna(subset=list(BOX)), b.dropna(subset=list(BOX))
+    met = spatial_join(a.select("id", *BOX).distinct(), b, boxes.intersects).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("met"))
+    whole = b.agg(F.count("*").alias("n"))
+    return a.select("id").join(met, "id", "left").crossJoin(F.broadcast(whole)).select("id", (F.col("n") - F.coalesce("met", F.lit(0))).alias("disjoint"))  # one row
+
+
 def nearest_unbounded(a: DataFrame, b: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """The k nearest of b for each of a, however far.
 
-    The radius starts at that of a circle which holds k objects on average and doubles for those of a that haven't k
-    neighbours inside it, so each round joins fewer rows. What is found inside the radius is exact.
+    The radius starts at half that of a square which holds k objects on average and doubles for those of a that haven't k
+    neighbours inside it, so each round joins fewer rows. What is found inside the radius is exact. The neighbours found
+    and the rows still open are written after each round, so no round is computed twice.
     """
     space = b.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.count("*")).first()
     n = space[4]
@@ -85,7 +133,7 @@ def nearest_unbounded(a: DataFrame, b: DataFrame, k: int, exclude_self: bool = F
         return nearest(a, b, k, 1.0)
     span = max(max(float(space[2]), float(other[2])) - min(float(space[0]), float(other[0])), max(float(space[3]), float(other[3])) - min(float(space[1]), float(other[1])), 1.0)
     want = min(k, n - 1 if exclude_self else n)
-    radius = max(1.0, span * (k / n) ** 0.5)
+    radius = max(1.0, span * (k / n) ** 0.5 / 2)
     todo, found = a, None
     while True:
         last = radius > 1.5 * span
@@ -93,19 +141,32 @@ def nearest_unbounded(a: DataFrame, b: DataFrame, k: int, exclude_self: bool = F
         if exclude_self:
             near = near.filter("a_id <> b_id").withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy("distance", "b_id"))).filter(F.col("rank") <= k)
         full = near if last else near.withColumn("n", F.count("*").over(Window.partitionBy("a_id"))).filter(F.col("n") >= want).drop("n")
+        full = durable(full)
         found = full if found is None else found.unionByName(full)
         if last:
             return found
-        todo = todo.join(full.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
+        todo = durable(todo.join(full.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti"))
         if todo.isEmpty():
             return found
         radius *= 2
 
 
 def earth_within(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
-    """Pairs of points (id, lat, lon) within a great-circle distance. Bands of latitude prune; a degree is 111 km."""
+    """Pairs of points (id, lat, lon) within a great-circle distance.
+
+    Bands of latitude are cut into cells of longitude that are wide enough for the distance at the band's pole-ward edge,
+    or not at all near the poles; a point of a looks into its own cell and those around it, across the date line too.
+    """
     band = max(metres / 111_000.0 * 1.01, 1e-6)
+    edge = lambda k: F.least(F.greatest(F.abs(k * F.lit(band)), F.abs((k + 1) * F.lit(band))) + F.lit(band), F.lit(90.0))
+    ratio = lambda k: F.lit(math.sin(math.radians(min(band, 90.0)))) / F.greatest(F.cos(F.radians(edge(k))), F.lit(1e-9))
+    cells = lambda k: F.when(ratio(k) < 0.9, F.greatest(F.lit(1), F.floor(F.lit(356.0) / F.degrees(F.asin(F.least(ratio(k), F.lit(1.0))))))).otherwise(F.lit(1)).cast("long")
+    cell = lambda lon, n: F.floor((lon + 180.0) / 360.0 * n).cast("long")
     one = a.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.explode(F.sequence(F.floor((F.col("lat") - band) / band), F.floor((F.col("lat") + band) / band))).alias("band"))
+    n = cells(F.col("band"))
+    around = F.array_distinct(F.transform(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]), lambda step: F.pmod(cell(F.col("a_lon"), n) + step, n)))
+    one = one.withColumn("cell", F.explode(around))
     two = b.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.floor(F.col("lat") / band).alias("band"))
+    two = two.withColumn("cell", F.pmod(cell(F.col("b_lon"), cells(F.col("band"))), cells(F.col("band"))))
     d = boxes.great_circle(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return one.join(two, "band").withColumn("metres", d).filter(F.col("metres") <= metres).select("a_id", "b_id", "metres")
+    return one.join(two, ["band", "cell"]).withColumn("metres", d).filter(F.col("metres") <= metres).select("a_id", "b_id", "metres")

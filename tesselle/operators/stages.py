@@ -10,7 +10,8 @@ from graphlib import TopologicalSorter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .masks import connected, durable
+from .durable import durable
+from .masks import connected
 
 REGISTRY: dict[str, Callable] = {}
 
