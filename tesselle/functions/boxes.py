@@ -50,6 +50,23 @@ def overlaps(a: Box, b: Box) -> Column:
     return interiors_meet(a, b) & ~contains(a, b) & ~contains(b, a)
 
 
+def crosses(a: Box, b: Box) -> Column:
+    """Of two upright or level lines: each passes through the inside of the other. Of a line and an area: the line is partly
+    inside and partly outside. Two areas never cross, nor do points. A line is a box of no width or no height."""
+    flat = lambda s: (s.x0 == s.x1) != (s.y0 == s.y1)
+    wide = lambda s: (s.x0 < s.x1) & (s.y0 < s.y1)
+
+    def enters(line: Box, area: Box) -> Column:
+        level = (line.y0 == line.y1) & (area.y0 < line.y0) & (line.y0 < area.y1) & (line.x0 < area.x1) & (area.x0 < line.x1)
+        upright = (line.x0 == line.x1) & (area.x0 < line.x0) & (line.x0 < area.x1) & (line.y0 < area.y1) & (area.y0 < line.y1)
+        return (level | upright) & ~contains(area, line)
+
+    def through(one: Box, two: Box) -> Column:
+        return (one.y0 == one.y1) & (two.x0 == two.x1) & (one.x0 < two.x0) & (two.x0 < one.x1) & (two.y0 < one.y0) & (one.y0 < two.y1)
+
+    return (flat(a) & wide(b) & enters(a, b)) | (wide(a) & flat(b) & enters(b, a)) | (flat(a) & flat(b) & (through(a, b) | through(b, a)))
+
+
 def intersection_area(a: Box, b: Box) -> Column:
     w, h = _sides(a, b)
     return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))

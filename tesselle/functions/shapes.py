@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -134,3 +136,11 @@ def convex_distance(a: Points, b: Points) -> float:
         hull = convex_hull(two)
         best = min([best, *(segment_distance(p, u, v) for p in one for u, v in zip(hull, hull[1:] + hull[:1], strict=True))])
     return best
+
+
+def buffered(points: Points, d: float, quadrant: int = 8) -> Points:
+    """A convex shape (point, segment or polygon) grown by d, its round corners as `quadrant` chords a quarter."""
+    if d <= 0:
+        raise ValueError("the distance must be positive")
+    steps = 4 * quadrant
+    return convex_hull([(x + d * math.cos(2 * math.pi * k / steps), y + d * math.sin(2 * math.pi * k / steps)) for x, y in points for k in range(steps)])

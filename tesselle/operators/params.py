@@ -49,15 +49,27 @@ def repeat_stats(trace: DataFrame) -> DataFrame:
     return trace.groupBy("param_set_id").agg(F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.round(F.avg("score"), 6).alias("avg_score"), F.round(F.median("score"), 6).alias("median_score"))
 
 
-def objective(trace: DataFrame, metric_weight: float, time_weight: float) -> DataFrame:
-    """1 / (weighted metric + weighted speed), where speed is 1 for the fastest set and 0 for the slowest; infinite if
-    the sum is 0 or less. Metrics of 0 or less count as the least float."""
+def constrained(sets: DataFrame, *rules: str) -> DataFrame:
+    """The parameter sets that fulfil all rules, each an SQL condition over the parameters. A rule that is null rejects."""
+    for rule in rules:
+        sets = sets.filter(F.expr(rule))
+    return sets
+
+
+#: Fixed value: the least step of a 32-bit float above 1, which the objective takes for metrics of 0 or less.
+EPSILON = 1.1920928955078125e-07
+
+
+def objective(trace: DataFrame, metric_weight: float, time_weight: float, second: str | None = None) -> DataFrame:
+    """1 / (weighted metric + weighted speed), where speed is 1 for the fastest set and 0 for the slowest; infinite if the
+    sum is 0 or less, or the metric isn't above EPSILON. With a `second` metric the mean of both counts. A negative
+    score, which negative weights can make, loses its sign."""
     whole = trace.agg(F.max("time").alias("slow"), F.min("time").alias("fast"))
     t = trace.crossJoin(F.broadcast(whole))  # one row
-    speed = F.when((F.lit(time_weight) != 0) & (F.col("slow") > F.col("fast")), (F.col("slow") - F.col("time")) / (F.col("slow") - F.col("fast"))).otherwise(0.0)
-    metric = F.when(F.col("metric") <= 0, F.lit(1.1920928955078125e-07)).otherwise(F.col("metric"))
+    speed = F.when((F.lit(time_weight) > 0) & (F.col("slow") > F.col("fast")), (F.col("slow") - F.col("time")) / (F.col("slow") - F.col("fast"))).otherwise(0.0)
+    metric = (F.col("metric") + F.col(second)) / 2 if second else F.col("metric")
     total = metric_weight * metric + time_weight * speed
-    return t.select("param_set_id", F.when(total <= 0, F.lit(float("inf"))).otherwise(1 / total).alias("score"))
+    return t.select("param_set_id", F.when((total > 0) & (metric > EPSILON), F.abs(1 / total)).otherwise(F.lit(float("inf"))).alias("score"))
 
 
 def ranked(population: DataFrame) -> DataFrame:
@@ -88,3 +100,13 @@ def folds(items: DataFrame, n_folds: int, n_train: int, seed: int) -> DataFrame:
     each = items.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     order = Window.partitionBy("fold").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "fold", "id")), "id")
     return each.withColumn("train", F.row_number().over(order) <= n_train)
+
+
+def cross_validate(scores: DataFrame, parts: DataFrame) -> DataFrame:
+    """fold, param_set_id, train_score, test_score: for each fold the parameter set that is best (least mean score, then least
+    id) on its images for training, and its mean score on the others. scores: param_set_id, image, score; parts: fold,
+    id, train, as `folds` gives them. Folds without images for testing have a null test score."""
+    both = scores.join(parts.select("fold", F.col("id").alias("image"), "train"), "image")
+    means = both.groupBy("fold", "param_set_id").agg(F.avg(F.when(F.col("train"), F.col("score"))).alias("train_score"), F.avg(F.when(~F.col("train"), F.col("score"))).alias("test_score"))
+    best = F.min_by(F.struct("param_set_id", "train_score", "test_score"), F.struct("train_score", "param_set_id")).alias("best")
+    return means.filter("train_score is not null").groupBy("fold").agg(best).select("fold", "best.*")

@@ -38,6 +38,39 @@ def denormalize(df: DataFrame, whole: DataFrame) -> DataFrame:
     return s.select("id", *[(F.col(c) * (x if c[0] == "x" else y) + F.col(f"min_{c[0]}")).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+def denormalize_nested(tiles: DataFrame, first: DataFrame) -> DataFrame:
+    """Tiles of a second layer (tile_id, box), given in the unit square of the first-layer tile that their id begins with (up
+    to the bar), at their place in that tile (first: tile_id, box). Tiles whose first layer is missing are left out."""
+    outer = first.select(F.col("tile_id").alias("outer"), *[F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")])
+    joined = tiles.withColumn("outer", F.split("tile_id", r"\|")[0]).join(outer, "outer")
+    return joined.select("tile_id", *[(F.col(c) * (F.col(f"o_{c[0]}1") - F.col(f"o_{c[0]}0")) + F.col(f"o_{c[0]}0")).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def sampled(df: DataFrame, rate: float, seed: int, key: str = "id") -> DataFrame:
+    """Each row with probability `rate`, by a hash of its key, so reruns agree."""
+    if not 0 <= rate <= 1:
+        raise ValueError("the rate must be from 0 to 1")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)).cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.filter(draw < F.lit(round(rate * (1 << 32))))
+
+
+def centre_order(df: DataFrame, axis: str = "x") -> DataFrame:
+    """id, place: the boxes in the order of their centres along an axis, equal ones by id, from 1.
+
+    Centres are cut into as many equal ranges as there are 10,000 boxes; a range's first place follows from the counts
+    of those before it, so no task sorts the whole table unless the centres are the same.
+    """
+    whole = df.agg(F.min(F.col(f"{axis}0") + F.col(f"{axis}1")), F.max(F.col(f"{axis}0") + F.col(f"{axis}1")), F.count("*")).first()
+    cuts = max(1, whole[2] // 10_000)
+    width = max(float((whole[1] or 0) - (whole[0] or 0)), 1e-9) / cuts
+    centre = F.col(f"{axis}0") + F.col(f"{axis}1")
+    own = df.select("id", centre.alias("centre"), F.floor((centre - F.lit(float(whole[0] or 0))) / F.lit(width)).alias("range"))
+    counts = own.groupBy("range").count()
+    before = counts.select("range", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("centre", "id"))
+    return own.join(before, "range").select("id", (F.col("start") + rank).cast("long").alias("place"))
+
+
 def fixed_grid(df: DataFrame, per_tile: int) -> DataFrame:
     """tile_id, x0, y0, x1, y1 in the unit square, by column; cells are about square in the objects' own space."""
     w = space(df).withColumn("r", (F.col("max_x") - F.col("min_x")) / (F.col("max_y") - F.col("min_y")))

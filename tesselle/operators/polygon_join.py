@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, polygons
+from ..functions.shapes import buffered, polygon_area
 from .spatial_join import spatial_join
 
 MEASURED = "id1 long, id2 long, area1 double, area2 double, inter double, distance double, meets boolean"
@@ -106,3 +107,17 @@ def polygon_join(a: DataFrame, b: DataFrame, predicate: str, d: float = 0.0) ->
     union = F.col("area1") + F.col("area2") - F.col("inter")
     both = F.col("area1") + F.col("area2")
     return found.select("id1", "id2", "area1", "area2", F.col("inter").alias("intersect_area"), union.alias("union_area"), F.when(union > 0, F.col("inter") / union).otherwise(0.0).alias("jaccard"), F.when(both > 0, 2 * F.col("inter") / both).otherwise(0.0).alias("dice"), "distance")
+
+
+def buffered_areas(df: DataFrame, d: float, quadrant: int = 8) -> DataFrame:
+    """id, ring, area: boxes (id, x0, y0, x1, y1) grown by d, with round corners of `quadrant` chords a quarter."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for id_, x0, y0, x1, y1 in zip(*(frame[c].tolist() for c in ("id", "x0", "y0", "x1", "y1")), strict=True):
+                ring = buffered([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], d, quadrant)
+                out.append((id_, [{"x": x, "y": y} for x, y in ring], polygon_area(ring)))
+            yield pd.DataFrame(out, columns=["id", "ring", "area"])
+
+    return df.select("id", "x0", "y0", "x1", "y1").dropna().mapInPandas(run, "id long, ring array<struct<x:double,y:double>>, area double")

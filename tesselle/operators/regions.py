@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ("dr_name", "ts", "version")
@@ -187,3 +187,39 @@ def ragged_equal(a: Column, b: Column) -> Column:
 def reuse(regions: DataFrame, sizes: str, worker: str) -> DataFrame:
     """Per worker, the bytes of the regions that it holds already."""
     return regions.groupBy(F.col(worker).alias("worker")).agg(F.sum(sizes).alias("reused"))
+
+
+def box_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Euclidean distance of two inclusive boxes of any dimension, 0 if they meet."""
+    n = len(a) // 2
+    gaps = [F.greatest(a[k] - b[n + k], b[k] - a[n + k], F.lit(0)).cast("double") for k in range(n)]
+    return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+
+
+def file_name(name: Column, dr_id: Column, version: Column, ts: Column, extension: str = "") -> Column:
+    """The file that a region is stored in: name-id-version-timestamp and the extension."""
+    return F.concat(F.concat_ws("-", name, dr_id, version.cast("string"), ts.cast("string")), F.lit(extension))
+
+
+def put(regions: DataFrame, path: str) -> None:
+    """Publishes regions: appended under their name, version and timestamp, whole or not at all. What is there stays."""
+    regions.write.mode("append").partitionBy("dr_name", "version", "ts").parquet(path)
+
+
+def get(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """The rows of a region in a version, or in its newest one. Only that folder is read."""
+    own = spark.read.parquet(path).filter(F.col("dr_name") == name)
+    if version is None:
+        version = own.agg(F.max("version")).first()[0]
+    return own.filter(F.col("version") == F.lit(version))
+
+
+def magnification(properties: Column) -> Column:
+    """The magnification that a slide's properties (a map) name, 0 if they don't or it isn't a number."""
+    return F.coalesce(F.try_element_at(properties, F.lit("aperio.AppMag")).try_cast("double"), F.lit(0.0))
+
+
+def region_of_interest(regions: DataFrame, pixels: DataFrame, name: str, ts: int, version: int, box: tuple[int, int, int, int], dr_id: str | None = None) -> DataFrame:
+    """The pixels (seq, y, x, label) of the region that `lookup` finds, cropped to an inclusive box."""
+    found = lookup(regions, name, ts, version, dr_id).select("seq")
+    return crop(pixels.join(F.broadcast(found), "seq"), *box)  # one row

@@ -107,6 +107,69 @@ def read_xml_matrix(spark: SparkSession, path: str, node: str = "mat") -> DataFr
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, y int, x int, value double")
 
 
+def xml_matrix(rows: list[list[float]], node: str = "mat") -> str:
+    """A matrix as XML storage has it, and as read_xml_matrix reads it."""
+    root = ElementTree.Element("opencv_storage")
+    mat = ElementTree.SubElement(root, node, type_id="opencv-matrix")
+    for name, text in (("rows", len(rows)), ("cols", len(rows[0]) if rows else 0), ("dt", "d"), ("data", " ".join(repr(float(v)) for row in rows for v in row))):
+        ElementTree.SubElement(mat, name).text = str(text)
+    return '<?xml version="1.0"?>\n' + ElementTree.tostring(root, encoding="unicode")
+
+
+def write_xml_matrices(cells: DataFrame, path: str, node: str = "mat") -> None:
+    """One file for each matrix (name, y, x, value), in a folder of its own name. Missing cells are 0."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((int(frame["y"].max()) + 1, int(frame["x"].max()) + 1))
+        grid[frame["y"], frame["x"]] = frame["value"]
+        return pd.DataFrame({"name": [frame["name"].iat[0]], "value": [xml_matrix(grid.tolist(), node)]})
+
+    texts = cells.groupBy("name").applyInPandas(run, "name string, value string")
+    texts.write.partitionBy("name").option("lineSep", "\n").text(path)
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Ragged vectors (name, vectors: array<array<double>>) as a table; `vectors_to_bytes` gives the bytes of a file."""
+    vectors.select("name", "vectors").write.parquet(path)
+
+
+def with_extension(path: Column, extension: str) -> Column:
+    """The path with another extension, or with one if it has none. Dots in folders don't count."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(f".{extension}"))
+
+
+def in_folder(path: Column, folder: str) -> Column:
+    """The file's name below another folder."""
+    return F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_replace(path, r"^.*/", ""))
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: the job's marker is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
+#: Python types of arguments by their name in text.
+ARGUMENTS = {"int": int, "float": float, "string": str}
+
+
+def argument_text(name: str, value: int | float | str | list[float]) -> str:
+    """name:type:value, a list of numbers with commas."""
+    if isinstance(value, list):
+        return f"{name}:floats:{','.join(map(repr, map(float, value)))}"
+    kind = "string" if isinstance(value, str) else "int" if isinstance(value, int) else "float"
+    return f"{name}:{kind}:{value if kind == 'string' else repr(value)}"
+
+
+def argument_of(text: str) -> tuple[str, int | float | str | list[float]]:
+    name, kind, value = text.split(":", 2)
+    if kind == "floats":
+        return name, [float(v) for v in value.split(",") if v]
+    if kind not in ARGUMENTS:
+        raise ValueError(f"no such type: {kind}")
+    return name, ARGUMENTS[kind](value)
+
+
 def list_files(spark: SparkSession, path: str, part: str) -> DataFrame:
     """Files below the folder whose name holds `part`, which need not be at its end."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
