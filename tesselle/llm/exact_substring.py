@@ -5,7 +5,8 @@ judged on the input. How it scales:
 
 * Every window has one anchor: its `gram`-byte substring with the least hash (winnowing). Equal windows have equal
   anchors, so the windows of one anchor, a *span* of text, are judged together and independently of all others.
-* Documents live in buckets of about `bucket_bytes` by a hash of their id. Per bucket, each anchor hash goes out once,
+* Documents live in buckets of about `bucket_bytes` by a hash of their id; without it, of 8 MB, and of up to 64 MB where
+  that makes more than 50,000 buckets. Per bucket, each anchor hash goes out once,
   with the least document id, however many copies the bucket holds. That is the pre-aggregation for hot passages.
 * Spans of anchors that occur in one document only can't repeat and never leave their bucket. Of the others each
   distinct span goes out once per bucket.
@@ -202,13 +203,13 @@ def judge(hashes: np.ndarray, spans: list[bytes], left: np.ndarray, first_doc: n
     return found
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, bucket_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 for each row of `docs`."""
     if not 8 <= gram <= width:
         raise ValueError("8 <= gram <= width is needed")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // bucket_bytes))
+    n = max(1, -(-total // (bucket_bytes or min(64 << 20, max(8 << 20, total // 50_000)))))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     shift = np.uint64(32)
 
