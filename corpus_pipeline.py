@@ -4,18 +4,21 @@ Language ID rejects texts without a letter and those whose features the predicte
 lines that earlier documents have, and documents that lose all their text. Near dedup keeps the first document of each
 group (shingles of five words, similarity 0.8). Decontamination drops documents that hold a benchmark item. Mixing gives the
 words that the mix takes of each document; documents that it takes nothing of are left out.
+
+Null and empty texts go in the first stage, as they have no letter. Documents without an id lose no lines and are in no group
+of near copies, so they stay. Rows with equal ids are one document: equal texts of it stay once. Columns of `documents`
+may have any name, clashing ones included; nulls in the others change nothing. No documents give no rows.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselle.llm import langid, mixing
-from tesselle.llm.common import table
+from tesselle.llm.common import shared_folder, table
 from tesselle.llm.decontaminate import find_contamination
 from tesselle.llm.line_dedup import dedup_lines
 from tesselle.llm.minhash import near_duplicates
@@ -50,9 +53,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs, size=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("_same", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).dropDuplicates(["doc_id", "_same"])
-    return once.select(*docs.columns).union(docs.filter("doc_id is null"))
+    rows, names = _masked(docs)
+    kept = near_duplicates(rows, size=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
+    once = rows.withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "same"])
+    return _back(once.drop("same").union(rows.filter("doc_id is null")), names, docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,15 +70,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near), ("decontamination", clean), ("mixing", mix)]
-#: SQL can't express the learned model, patience diff, or SimHash; the tests compare the stages with brute force.
+#: SQL can't express the learned model, patience diff, or SimHash; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table goes as soon as the next one is written; the last table stays, as the result
+    reads it."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
