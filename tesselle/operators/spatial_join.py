@@ -74,15 +74,15 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Col
         # kind 1: the first box is as wide as the cells, or both are; kind 2: only the second is
         first = F.array_compact(F.array(spot(1, own_a, size(own_a)), *coarser(2, has_b, own_a, True)))
         second = F.array_compact(F.array(spot(2, own_b, size(own_b)), *coarser(1, has_a, own_b, False)))
-    keys = ["kind", "level", "size", "cx", "cy"]
-    left, right = _tiled(a, "a_", d, first), _tiled(b, "b_", 0.0, second)
+    keys = ["kind", "level", "cx", "cy"]
+    left, right = _tiled(a, "a_", d, first), _tiled(b, "b_", 0.0, second).drop("size")
     for c in on:
         keys.append(f"on_{c}")
         left, right = left.withColumn(f"on_{c}", F.col(f"a_{c}")), right.withColumn(f"on_{c}", F.col(f"b_{c}"))
     meet = (x0 <= two.x1) & (two.x0 <= x1) & (y0 <= two.y1) & (two.y0 <= y1)
     corner = lambda v: F.floor(v / F.col("size"))
     once = (corner(F.greatest(x0, two.x0)) == F.col("cx")) & (corner(F.greatest(y0, two.y0)) == F.col("cy"))
-    return left.join(right, keys).filter(meet & once & predicate(one, two)).drop(*keys)
+    return left.join(right, keys).filter(meet & once & predicate(one, two)).drop(*keys, "size")
 
 
 def self_join(a: DataFrame, predicate: Callable[[Box, Box], Column], unique: bool = True, d: float = 0.0) -> DataFrame:
