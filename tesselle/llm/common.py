@@ -33,14 +33,46 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    folder, sc = shared_folder(df.sparkSession), df.sparkSession.sparkContext
+#: Rows that a checkpoint file should hold where a bound on the number of rows is known.
+FILE_ROWS = 20_000
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A reliable checkpoint in the shared folder. With a bound on its rows, a table that is small for the session's number
+    of shuffle partitions is dealt out to fewer files: each file costs several calls of the file system, and on a local one
+    a process for each call, however little it holds."""
+    spark = df.sparkSession
+    folder, sc = shared_folder(spark), spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
+    if rows is not None:
+        files = max(1, -(-rows // FILE_ROWS))
+        if 2 * files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(files)
     return df.checkpoint()
 
 
+#: The most keys that are called hot, and so the most rows that are broadcast for them; and the tasks that share a hot key.
+MOST_HOT, SALTS = 10_000, 32
+
+
+def hottest(counts: DataFrame, key: str, least: int) -> list:
+    """The keys with more than `least` rows, the largest MOST_HOT at most, of a table with one row a key and its size n."""
+    return [x[0] for x in counts.filter(F.col("n") > least).orderBy(F.desc("n"), key).select(key).limit(MOST_HOT).collect()]
+
+
+def join_salted(rows: DataFrame, facts: DataFrame, key: str, hot: list, by: str = "doc_id") -> DataFrame:
+    """`rows.join(facts, key)`, the rows of each hot key being shared out to SALTS tasks by the column `by`, and the facts of
+    hot keys copied to these. Which keys are called hot changes no result."""
+    if not hot:
+        return rows.join(facts, key)
+    names = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in hot], f"{key} {dict(rows.dtypes)[key]}").withColumn("_hot", F.lit(True)))
+    one = F.lit(0).cast("int")
+    left = rows.join(names, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(one))
+    right = facts.join(names, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(one, F.lit(SALTS - 1))).otherwise(F.array(one))))
+    return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
 #: Rows and bytes that go to a Python worker at a time. Texts may be long, and a worker holds a batch as Arrow and as objects.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 

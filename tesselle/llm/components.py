@@ -41,13 +41,13 @@ def forests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield drain()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for each node of the links (u, v); the component is its least node.
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, component) for each node of the links (u, v); the component is its least node. rows: a bound on the links, if known.
 
     Each partition first shrinks its links to a forest by union-find. Then large-star and small-star rounds (Kiveris
     and others, 2014) hang every node on the least node that it knows, until nothing changes. No links give no rows.
     """
-    edges = checkpoint(links.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInPandas(forests, "u long, v long").distinct())
+    edges = checkpoint(links.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInPandas(forests, "u long, v long").distinct(), rows)
     seen = None
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -59,6 +59,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # large star
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u")
-        edges = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
+        edges = checkpoint(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u > v").distinct(), 2 * mark[0])
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

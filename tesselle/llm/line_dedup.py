@@ -1,15 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Each shortest run of adjacent lines that reaches `least_chars` characters, and that an earlier document has too, is a seed,
-however short or frequent its lines are. Each seed leads to the earliest document that has the same run; so a run shared
-by n documents makes n - 1 pairs, not n squared, and a common line needs no limit. Where the alignments leave a line of
-a seed (it is moved, or repeated), the seed leads to its further holders too, some at a time, until all lines of the seed
-are deleted or all earlier holders are aligned. Holders whose shared lines are the same in the same order count once. So
-the lines that go are those that alignments with all earlier documents would delete.
+Overlapping documents are found through hashes of shared rare lines. A line that is short or frequent is no guide by itself, so
+a seed is the shortest run of adjacent shared lines that reaches `least_chars` characters: a long line is its own seed,
+short ones make a rarer one together, and each line of a block that can be deleted is in some seed. Each seed leads to
+the earliest document that has the same run; so a run shared by n documents makes n - 1 pairs, not n squared, and a
+common line needs no limit. Where the alignments leave a line of a seed (it is moved, or repeated), a rare seed, of up
+to ROUND holders, leads to all of them, a frequent one to so many at a time until all its lines are deleted or all
+earlier holders are aligned. Holders whose shared lines are the same in the same order count once. So the lines that go
+are those that alignments with all earlier documents would delete.
 Both documents of a pair, reduced to the lines they share, are aligned by patience diff: lines that are unique on both
 sides are kept in their longest increasing order, and the parts between these are aligned in the same way. Aligned
 lines that follow each other on both sides make a block; blocks of `least_chars` characters or more are deleted from
 the later document. Only hashes and line numbers are shuffled for all of this; texts move once, to their deletions.
+Counts and earliest holders are aggregated before they are shuffled, and the holders of the hottest lines and runs are
+shared out to several tasks.
 """
 
 from __future__ import annotations
@@ -24,10 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import MOST_HOT, checkpoint, hottest, join_salted, small_batches
 
-#: The second round goes to this many holders of a seed, and each further one to this many times as many.
-ROUND = 32
+#: The second round goes to this many holders of a seed, and each further one to GROWTH times as many.
+ROUND, GROWTH = 32, 16
+#: One in so many documents tells which lines are hot.
+PART = 16
+#: Rows that a Python task hands on at a time.
+HANDED_ON = 10_000
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -119,68 +127,93 @@ def overlaps(docs: DataFrame, least_chars: int = 40) -> DataFrame:
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), "\n").alias("lines")).filter("doc_id is not null")
     plain = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != "")
     lines = lines.select("doc_id", F.posexplode(plain).alias("pos", "line")).select("doc_id", "pos", F.xxhash64("line").alias("hash"), F.length("line").alias("chars"))
+    # hot lines are known from a part of the documents: that decides how the join is dealt out, not what it gives
+    hot = max(1_000, docs.count() // MOST_HOT)
+    part = lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == 0).groupBy("hash").agg(F.count("*").alias("n"))
+    common = hottest(part, "hash", hot // PART)
     by_doc = lines.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.max("chars").alias("chars"))
-    by_doc = checkpoint(by_doc)
     often = by_doc.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = checkpoint(by_doc.join(often, "hash"))
+    shared = checkpoint(join_salted(by_doc, often, "hash", common))
+    rows = 2 * shared.count()
 
     def seek(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, out = ["doc_id", "shape", "run", "at"], []
         for frame in frames:
-            out = []
-            for doc, rows in zip(frame["doc_id"], frame["lines"], strict=True):
-                shape, found = runs([(x["hash"], list(x["at"]), x["chars"]) for x in rows], least_chars)
+            for doc, flat in zip(frame["doc_id"], frame["lines"], strict=True):
+                shape, found = runs([(key, at, chars) for key, chars, at in unflattened(flat, 2, 1)], least_chars)
                 out += [(doc, shape, run, sorted(at)) for run, at in found.items()]
-            yield pd.DataFrame(out, columns=["doc_id", "shape", "run", "at"])
-
-    whole = shared.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "at", "chars")).alias("lines"))
-    seeds = checkpoint(whole.mapInPandas(seek, "doc_id long, shape binary, run long, at array<int>"))
-    first = seeds.groupBy("run").agg(F.min("doc_id").alias("owner"))
-    todo = seeds.join(first, "run").filter("doc_id > owner")
-    state = checkpoint(aligned(todo.withColumn("gone", F.array().cast("array<int>")), shared, least_chars))
-    gone = state.select("doc_id", "gone")
-    open_ = state.select("doc_id", "gone", F.explode("left").alias("x")).select("doc_id", "gone", "x.run", "x.at")
+                if len(out) > HANDED_ON:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
+
+    flat = F.concat(F.array("hash", F.col("chars").cast("long"), F.size("at").cast("long")), F.col("at").cast("array<long>"))
+    whole = shared.groupBy("doc_id").agg(F.flatten(F.collect_list(flat)).alias("lines"))
+    seeds = checkpoint(whole.mapInPandas(seek, "doc_id long, shape binary, run long, at array<int>"), rows)
+    first = seeds.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("last > owner")
+    common = hottest(first, "run", hot)
+    open_ = join_salted(seeds, first.drop("last", "n"), "run", common).filter("doc_id > owner").select("doc_id", "owner", "run", "at")
+    open_ = checkpoint(open_, rows)
+    gone = checkpoint(aligned(open_, shared, least_chars), rows)
+    open_ = checkpoint(left_over(open_, gone), rows)
     once = seeds.join(seeds.groupBy("shape").agg(F.min("doc_id").alias("doc_id")), ["shape", "doc_id"], "left_semi")
-    holders = once.select("run", F.col("doc_id").alias("owner")).join(open_.select("run").distinct(), "run")
-    holders = checkpoint(holders.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy("owner"))))
+    holders = checkpoint(once.select("run", F.col("doc_id").alias("owner")).join(open_.select("run"), "run", "left_semi"), rows)
     low, high = 2, ROUND
-    while True:
-        todo = open_.join(holders.filter(f"rank between {low} and {high}").drop("rank"), "run").filter("doc_id > owner")
-        state = checkpoint(aligned(todo, shared, least_chars))
-        if state.isEmpty():
-            return gone.groupBy("doc_id").agg(F.max_by("gone", F.size("gone")).alias("gone")).filter(F.size("gone") > 0)
-        gone = gone.union(state.select("doc_id", "gone"))
-        open_ = state.select("doc_id", "gone", F.explode("left").alias("x")).select("doc_id", "gone", "x.run", "x.at")
-        low, high = high + 1, high * ROUND
+    while not open_.isEmpty():
+        # of a hot run, each task sends on `high` holders at most before they are ranked together
+        rank = F.row_number().over(Window.partitionBy("run").orderBy("owner"))
+        found = checkpoint(holders.withColumn("rank", rank).filter(F.col("rank") <= high).filter(F.col("rank") >= low).drop("rank"), rows)
+        if found.isEmpty():
+            break
+        todo = join_salted(open_, found, "run", common).filter("doc_id > owner")
+        gone = checkpoint(gone.union(aligned(todo, shared, least_chars)).distinct(), rows)
+        open_ = checkpoint(left_over(todo, gone), rows)
+        low, high = high + 1, high * GROWTH
+    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+
+
+def unflattened(flat: np.ndarray, facts: int, lists: int) -> Iterator[tuple]:
+    """The lines that were put one after the other: each `facts` numbers, the lengths of `lists` lists, and these lists."""
+    flat, at = flat.tolist(), 0
+    while at < len(flat):
+        own = flat[at : at + facts]
+        sizes = flat[at + facts : at + facts + lists]
+        at += facts + lists
+        for n in sizes:
+            own.append(flat[at : at + n])
+            at += n
+        yield tuple(own)
+
+
+def left_over(seeds: DataFrame, gone: DataFrame) -> DataFrame:
+    """doc_id, run, at of the seeds that still have lines."""
+    away = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+    left = F.size(F.array_except("at", F.coalesce("gone", F.array().cast("array<int>")))) > 0
+    return seeds.select("doc_id", "run", "at").distinct().join(away, "doc_id", "left").filter(left).drop("gone")
 
 
 def aligned(todo: DataFrame, shared: DataFrame, least_chars: int) -> DataFrame:
-    """doc_id, gone: the lines of doc_id that were gone, and those in blocks that it has in common with its owners; and
-    left: the seeds (run, at) that still have lines. todo: doc_id, owner, run, at, gone."""
+    """doc_id, pos: the lines in blocks that doc_id has in common with an owner. todo: pairs (doc_id, owner), repeated or not."""
     pairs = todo.select("doc_id", "owner").distinct()
     later = pairs.join(shared, "doc_id")
     earlier = shared.select(F.col("doc_id").alias("owner"), "hash", F.col("at").alias("other")).join(pairs.select("owner").distinct(), "owner", "left_semi")
     common = later.join(earlier, ["owner", "hash"])
-    each = common.groupBy("doc_id").agg(F.collect_list(F.struct("owner", "hash", "at", "other", "chars")).alias("shared"))
-    each = each.join(todo.groupBy("doc_id").agg(F.first("gone").alias("gone"), F.collect_set(F.struct("run", "at")).alias("seeds")), "doc_id")
+    flat = F.concat(F.array("chars", F.size("at"), F.size("other")), "at", "other")
+    each = common.groupBy("doc_id", "owner").agg(F.flatten(F.collect_list(flat)).alias("shared"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, lines = [], []
         for frame in frames:
-            out = []
-            for doc, rows, away, seeds in zip(frame["doc_id"], frame["shared"], frame["gone"], frame["seeds"], strict=True):
-                by_owner: dict[int, list] = {}
-                for x in sorted(rows, key=lambda x: (x["owner"], x["hash"])):
-                    by_owner.setdefault(x["owner"], []).append((list(x["at"]), list(x["other"]), x["chars"]))
-                gone = set(away.tolist())
-                wanted = {p for x in seeds for p in x["at"]}
-                for lines in by_owner.values():
-                    if wanted <= gone:
-                        break
-                    gone |= blocks(lines, least_chars)[0]
-                left = [{"run": x["run"], "at": list(x["at"])} for x in seeds if not gone.issuperset(x["at"])]
-                out.append((doc, sorted(gone), left))
-            yield pd.DataFrame(out, columns=["doc_id", "gone", "left"])
-
-    return each.mapInPandas(run, "doc_id long, gone array<int>, left array<struct<run: long, at: array<int>>>")
+            for doc, flat in zip(frame["doc_id"].tolist(), frame["shared"], strict=True):
+                gone, _ = blocks([(own, other, chars) for chars, own, other in unflattened(flat, 1, 2)], least_chars)
+                docs += [doc] * len(gone)
+                lines += gone
+                if len(docs) > HANDED_ON:
+                    yield pd.DataFrame({"doc_id": docs, "pos": lines})
+                    docs, lines = [], []
+        yield pd.DataFrame({"doc_id": docs, "pos": lines}, dtype="int64")
+
+    return each.mapInPandas(run, "doc_id long, pos int").distinct()
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:
