@@ -7,27 +7,33 @@ that of independent hashes.
 
 Candidates come from bands of slots. Texts with equal shingle sets form one class and take part once. Each member of a
 bucket is compared with the bucket's hub on full sets, so that a large group of near copies costs one pair each. Members
-that aren't linked to the hub are then compared with all others that have the same hub, inside a task and in blocks, by
-what either set lost and gained against the hub: that is exact, needs no pair as a row, and has no bound on a bucket.
-Union-find and star rounds make the groups. With 16 bands of 4 slots a pair at similarity 0.85 is missed with probability 8e-6,
+that aren't linked to the hub are then compared with all others that have the same hub, by what either set lost and
+gained against the hub. Up to FAMILY members do so inside a task. More are split by shared differences: two sets, one of
+them not linked to the hub, are only similar if enough of their differences to the hub agree, so some agree among the
+rarest ones of either, of which there is a bound (prefix filter). Members that have such a difference in common get a hub
+of their own, and so on. All of this is exact for sets that have a hub in common, needs no pair of members as a row, and has no bound on a
+bucket. Union-find and star rounds make the groups. With 16 bands of 4 slots a pair at similarity 0.85 is missed with probability 8e-6,
 and pairs with fewer than `least_equal` equal slots of 64 (6 standard deviations below 0.85) are not verified.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, mix, pack, shingles, small_batches, unpack
+from .common import WordHashes, checkpoint, hottest, join_salted, mix, pack, shingles, small_batches, unpack
 from .components import components
 
 #: Members of a bucket that choose a hub together; larger buckets are split by a hash of the id, and the hubs of the parts meet.
-PART = 4096
+PART = 256
+#: Members of a hub that are compared in one task, and how often larger families are split by shared differences; what is
+#: larger even then is compared in blocks.
+FAMILY, SPLITS = 2048, 2
 BATCH = 200_000
 MARK = np.uint64(1 << 63)
 NEVER = np.uint64((1 << 64) - 1)
@@ -96,19 +102,29 @@ def nearest(frame: pd.DataFrame) -> pd.DataFrame:
         values, counts = np.unique(column, return_counts=True)
         agreed += column == values[counts.argmax()]
     best = int(np.lexsort([frame["rep"].to_numpy(), -agreed])[0])
-    return frame.iloc[[best]][["band", "key", "rep", "slots"]]
+    return frame.iloc[[best]]
 
 
-def first_pairs(classes: DataFrame, small: int = 8) -> DataFrame:
+def nearest_of(columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return nearest(frame)[columns]
+
+    return run
+
+
+def first_pairs(classes: DataFrame, count: int, small: int = 8) -> DataFrame:
     """Pairs (a, b) of each member and the hub of its bucket: the least id in small buckets, else the nearest to all."""
     bucket = classes.select("rep", F.posexplode("keys").alias("band", "key"))
-    size = bucket.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
-    member = checkpoint(bucket.join(size, ["band", "key"]))
+    size = checkpoint(bucket.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1"), count)
+    member = bucket.join(size, ["band", "key"])
     many = member.filter(f"n > {small}").drop("hub").join(classes.select("rep", "slots"), "rep")
-    part = F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / PART)).cast("int")
-    shape = "band int, key long, rep long, slots binary"
-    hub = many.withColumn("part", part).groupBy("band", "key", "part").applyInPandas(nearest, shape)
-    hub = hub.groupBy("band", "key").applyInPandas(nearest, shape).select("band", "key", F.col("rep").alias("nearest"))
+    part = lambda size: F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / size)).cast("int")
+    hub = many.withColumns({"part": part(PART), "whole": part(PART * PART)})
+    for keys in (["part", "whole"], ["whole"], []):  # the hubs of parts meet in wholes, those of wholes in the bucket
+        kept = [*keys[1:], "n", "rep", "slots"]
+        shape = "band int, key long, " + "".join(f"{c} {dict(hub.dtypes)[c]}, " for c in kept).removesuffix(", ")
+        hub = hub.groupBy("band", "key", *keys).applyInPandas(nearest_of(["band", "key", *kept]), shape)
+    hub = hub.select("band", "key", F.col("rep").alias("nearest"))
     pairs = member.join(hub, ["band", "key"], "left").select(F.col("rep").alias("a"), F.coalesce("nearest", "hub").alias("b"))
     return pairs.filter("a <> b").distinct()
 
@@ -188,21 +204,73 @@ def family(frame: pd.DataFrame, percent: int, least_equal: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
-def families(pairs: DataFrame, classes: DataFrame, percent: int, least_equal: int) -> DataFrame:
-    """The links within each hub's members that the links to the hub leave out, in blocks of PART by PART members."""
-    open_ = pairs.groupBy("b").agg(F.count("*").alias("members"), F.min("linked").alias("all")).filter("members > 1 and not all")
-    rows = pairs.join(open_.select("b", F.ceil(F.col("members") / PART).cast("int").alias("parts")), "b").join(classes.select(F.col("rep").alias("a"), "slots"), "a")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("a", F.lit(5)), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    asks = rows.filter("not linked").select("*", other).select(F.col("part").alias("x"), F.col("other").alias("y"), *rows.columns, F.lit(True).alias("asks"))
-    told = rows.select("*", other).select(F.col("other").alias("x"), F.col("part").alias("y"), *rows.columns, F.lit(False).alias("asks"))
+def families(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, least_equal: int, splits: int | None = None) -> DataFrame:
+    """The links (u, v) within each hub's members that the links to the hub leave out. pairs: what `compared` gives."""
+    splits = SPLITS if splits is None else splits
+    shape = "u long, v long"
+    open_ = pairs.groupBy("b").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all").drop("all")
+    wide = hottest(open_, "b", FAMILY)
+    rows = join_salted(pairs, open_.withColumnRenamed("n", "members"), "b", wide, "a")
+    small = rows.filter(F.col("members") <= FAMILY).join(classes.select(F.col("rep").alias("a"), "slots"), "a")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if "x" not in frame:
+            frame = pd.concat([frame[~frame["linked"]].assign(asks=True), frame.assign(asks=False)])
         if frame["asks"].all() or not frame["asks"].any():
             return pd.DataFrame(columns=["u", "v"], dtype="int64")
         return family(frame, percent, least_equal)
 
-    return asks.union(told).groupBy("b", "x", "y").applyInPandas(run, "u long, v long")
+    links = small.groupBy("b").applyInPandas(run, shape)
+    large = rows.filter(F.col("members") > FAMILY)
+    if not wide:
+        return links
+    if splits:
+        apart = regrouped(large, percent)
+        closer = checkpoint(compared(apart, sets, percent), apart.count())
+        direct = closer.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return links.union(direct).union(families(closer, classes, sets, percent, least_equal, splits - 1))
+    large = large.join(classes.select(F.col("rep").alias("a"), "slots"), "a").withColumn("parts", F.ceil(F.col("members") / FAMILY).cast("int"))
+    large = large.withColumn("part", F.pmod(F.xxhash64("a", F.lit(5)), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    asks = large.filter("not linked").select("*", other).select(F.col("part").alias("x"), F.col("other").alias("y"), *large.columns, F.lit(True).alias("asks"))
+    told = large.select("*", other).select(F.col("other").alias("x"), F.col("part").alias("y"), *large.columns, F.lit(False).alias("asks"))
+    return links.union(asks.union(told).groupBy("b", "x", "y").applyInPandas(run, shape))
+
+
+def regrouped(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a hub and new hubs, such that two members that are linked, one of which isn't to the
+    old hub, have a new one in common or one is the other's.
+
+    d being how many differences a set has to the hub, and k = (100 - percent) / (100 + percent), two linked sets share at
+    least (d + d' - k * (size + size')) / 2 differences. As d > k * (size + hub's size) for a set not linked to the hub,
+    that is more than half of what `least` takes here for either. In an order of the differences that all members of a hub share,
+    rare ones first, the first d - least + 1 of both then have one in common.
+    """
+    k = (100 - percent) / (100 + percent)
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            d = (frame["n_lost"] + frame["n_new"]).to_numpy(np.int64)
+            n = frame["n"].to_numpy(np.int64)
+            size = n - frame["n_lost"].to_numpy(np.int64) + frame["n_new"].to_numpy(np.int64)
+            bound = np.where(frame["linked"].to_numpy(bool), d - k * np.maximum(0, size - n), d - k * (size + n)) / 2
+            most = d - np.maximum(1, np.ceil(bound - 1e-9).astype(np.int64)) + 1
+            for lo in range(0, len(frame), 64):
+                part = frame.iloc[lo : lo + 64]
+                diffs = [unpack(x, True).view(np.int64) for x in part["diff"]]
+                at = np.repeat(np.arange(lo, lo + len(part)), [len(x) for x in diffs])
+                yield pd.DataFrame({"a": frame["a"].to_numpy()[at], "b": frame["b"].to_numpy()[at], "asks": ~frame["linked"].to_numpy(bool)[at], "d": d[at], "most": most[at], "diff": np.concatenate(diffs)})
+
+    each = checkpoint(rows.select("a", "b", "linked", "n", "n_lost", "n_new", "diff").mapInPandas(spread, "a long, b long, asks boolean, d long, most long, diff long"))
+    count = each.count()
+    often = checkpoint(each.groupBy("b", "diff").agg(F.count("*").alias("held"), F.max("asks").alias("asked")).filter("held > 1 and asked").drop("asked"), count)
+    shared = each.join(often, ["b", "diff"])
+    by_member = Window.partitionBy("b", "a")
+    # differences that no other member has, or only linked ones have, come first and lead nowhere
+    place = F.row_number().over(by_member.orderBy("held", "diff")) + F.col("d") - F.count("*").over(by_member)
+    kept = checkpoint(shared.withColumn("place", place).filter("place <= most").select("b", "diff", "a", "asks"), count)
+    hub = checkpoint(kept.groupBy("b", "diff").agg(F.min(F.when(F.col("asks"), F.col("a"))).alias("hub"), F.count("*").alias("held")).filter("hub is not null and held > 1").drop("held"), count)
+    return checkpoint(kept.join(hub, ["b", "diff"]).filter("a <> hub").select("a", F.col("hub").alias("b")).distinct(), count)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, least_equal: int = 36, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,8 +282,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """
     sketched = checkpoint(sketch(small_batches(docs), size, bands, rows, id_col, text_col))
     named = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = checkpoint(named.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.min_by("slots", "doc_id").alias("slots"), F.min_by("keys", "doc_id").alias("keys")))
-    pairs = checkpoint(first_pairs(classes))
+    count = named.count()
+    classes = checkpoint(named.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.min_by("slots", "doc_id").alias("slots"), F.min_by("keys", "doc_id").alias("keys")), count)
+    pairs = checkpoint(first_pairs(classes, bands * count), bands * count)
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,10 +298,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     wanted = classes.select("rep", "set1", "set2").join(needed, "rep")
-    sets = checkpoint(texts.join(wanted, "rep").mapInPandas(gather, "rep long, set binary").dropDuplicates(["rep"]))
-    against = checkpoint(compared(pairs, sets, percent))
-    links = against.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).union(families(against, classes, percent, least_equal))
-    label = components(links).withColumnRenamed("node", "rep")
+    sets = checkpoint(texts.join(wanted, "rep").mapInPandas(gather, "rep long, set binary").dropDuplicates(["rep"]), 20 * count)  # large rows
+    against = checkpoint(compared(pairs, sets, percent), bands * count)
+    links = against.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).union(families(against, classes, sets, percent, least_equal))
+    label = components(links, bands * count).withColumnRenamed("node", "rep")
     label = classes.select("set1", "set2", "rep").join(label, "rep", "left")
     found = sketched.join(label, ["set1", "set2"], "left")
     live = F.col("n_shingles") > 0
