@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import string
+import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -81,8 +83,15 @@ def brute_components(rows, size, percent):
     return sets, label
 
 
-def test_near_duplicates(spark):
-    rows = texts()
+@pytest.mark.parametrize("part", [3, 256])
+def test_near_duplicates(spark, part, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", part)
+    rows, r = texts(), random.Random(21)
+    base = [r.choice(WORDS) for _ in range(120)]
+    for k in range(40):  # a bucket of many near copies, whose hub comes from parts
+        copy = list(base)
+        copy[r.randrange(120)] = r.choice(WORDS)
+        rows.append((100 + k, " ".join(copy), None, None, 0, "x"))
     sets, label = brute_components(rows, 3, 85)
     got = near_duplicates(spark.createDataFrame([*rows, rows[3], (None, "one two", None, None, 0, "x")], DOCS), 3, 85).collect()
     assert len(got) == len(rows) + 2
@@ -91,23 +100,41 @@ def test_near_duplicates(spark):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), label[r.doc_id], r.doc_id == label[r.doc_id])
 
 
-@pytest.mark.parametrize("part", [2, 4096])
-def test_families_in_blocks(spark, part):
-    """Members that are unlike their hub, and like one other member each, in blocks of any size."""
-    value = np.random.default_rng(9).integers(0, 1 << 63, 2000).astype(np.uint64)
+@pytest.mark.parametrize(("size", "splits"), [(1024, 4), (4, 4), (4, 0)])
+def test_families(spark, size, splits):
+    """Members that are unlike their hub, in groups of their own, in one task, split by differences, and in blocks."""
+    rng = np.random.default_rng(9)
+    value = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
     own = {0: {*range(100)}}
     for k in range(1, 9):
         own[2 * k] = {*range(50), *range(100 * k + 100, 100 * k + 150)}
         own[2 * k + 1] = own[2 * k] - {0} | {100 * k + 190}
+    for k in range(100, 140):  # near copies of the hub and of a set that isn't linked to it, with some changes each
+        base = own[0] if k % 2 else own[2]
+        away = set(rng.choice(sorted(base), int(rng.integers(1, 14)), replace=False).tolist())
+        own[k] = base - away | set(rng.integers(2000, 2300, int(rng.integers(0, 8))).tolist())
     sets = {k: np.sort(value[sorted(x)]) for k, x in own.items()}
     slots = [(x >> np.uint64(48)).astype(np.uint16).tobytes() for x in minhash.mix(signatures(list(sets.values()), 64))]
     classes = spark.createDataFrame(list(zip(sets, slots, strict=True)), "rep long, slots binary")
     short = spark.createDataFrame([(k, minhash.pack(np.unique(x >> np.uint64(16)), True)) for k, x in sets.items()], "rep long, set binary")
     pairs = spark.createDataFrame([(k, 0) for k in own if k], "a long, b long")
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(minhash, "PART", part)
-        got = minhash.families(minhash.compared(pairs, short, 85), classes, 85, 36).collect()
-    assert {frozenset(x) for x in got} == {frozenset((a, b)) for a in own for b in own if 0 < a < b and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])}
+        patch.setattr(minhash, "FAMILY", size)
+        patch.setattr(minhash, "SPLITS", splits)
+        against = minhash.compared(pairs, short, 85)
+        got = minhash.families(against, classes, short, 85, 0).collect() + [(x.a, x.b) for x in against.filter("linked").collect()]
+    true = {frozenset((a, b)) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b])}
+    assert {frozenset(x) for x in got} <= true and len(true) > 150
+
+    def groups(links):
+        label = {k: k for k in own}
+        for _ in own:
+            for x in links:
+                u, v = x
+                label[u] = label[v] = min(label[u], label[v])
+        return label
+
+    assert groups([tuple(x) for x in got]) == groups([tuple(x) for x in true])
 
 
 def test_signatures_estimate_similarity():
@@ -204,11 +231,194 @@ def test_urls_are_judged_as_by_brute_force(spark, block):
 
 def test_media(spark):
     rows = texts()
-    df = spark.createDataFrame([*rows, (99, "é" * 40000, None, None, 0, "")], DOCS)
-    for r in media.digest(media.read_media(media.write_media(df))).collect():
-        raw = ((dict((k, t) for k, t, *_ in rows) | {99: "é" * 40000})[r.doc_id] or "").encode()
+    odd = [(99, "é" * 40000), (None, "a text"), (98, "twice"), (98, "twice")]
+    df = spark.createDataFrame([(k, x, "m", 1) for k, x, *_ in rows] + [(*x, "m", 1) for x in odd], "doc_id long, text string, media string, n_bytes int")
+    got = media.digest(media.read_media(media.write_media(df))).collect()
+    assert len(got) == len(rows) + 4
+    for r in got:
+        raw = ({k: t for k, t, *_ in rows} | dict(odd))[r.doc_id] or ""
+        raw = raw.encode()
         full = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        assert r.rgb_bytes == 3 * r.height * r.width and r.error is None
+    assert media.digest(media.read_media(media.write_media(df.limit(0)))).count() == 0
+
+
+def test_media_that_cannot_be_read(spark):
+    """Null, broken, cut and baseline files have an error and null results; the others go on."""
+    whole = media.write_jpeg(b"some text".ljust(128, b"\0"))
+    files = [None, b"", b"\xff\xd8", whole[:200], whole[:-2], whole.replace(b"\xff\xc2", b"\xff\xc0"), whole.replace(b"\x08\x00\x10", b"\x08\xff\xff"), whole.replace(b"\xff\xdb", b"\xff\xee"), whole]
+    df = spark.createDataFrame([(k if k else None, 9, x, "e") for k, x in enumerate(files)], "doc_id long, n_bytes long, media binary, error string")
+    got = sorted(media.digest(media.read_media(df)).collect(), key=lambda x: x.doc_id or 0)
+    assert [x.error is None for x in got] == [False] * 8 + [True]
+    assert all(x.payload_sha256 is None and x.feature is None for x in got[:-1]) and got[-1].payload_bytes == 128
+    assert got[0].media_bytes is None and got[5].media_bytes == len(whole)
+
+
+class Encoder:
+    """Progressive scans of any coefficients, code by code: the symbols used get codes of 9 bits each."""
+
+    def __init__(self):
+        self.parts = []
+
+    def symbol(self, x):
+        self.parts.append((x, None))
+
+    def bits(self, value, n):
+        self.parts.append((value, n))
+
+    def signed(self, v):
+        n = abs(v).bit_length()
+        self.bits(v if v > 0 else v + (1 << n) - 1, n)
+
+    def flush(self, run, pending=()):
+        if run:
+            n = run.bit_length() - 1
+            self.symbol(n << 4)
+            self.bits(run - (1 << n), n)
+            for bit in pending:
+                self.bits(bit, 1)
+
+    def first(self, blocks, first, last, low, longest):
+        run = 0
+        for block in blocks:
+            zeros = 0
+            for c in block[first : last + 1]:
+                v = (abs(c) >> low) * (1 if c > 0 else -1)
+                if not v:
+                    zeros += 1
+                    continue
+                self.flush(run)
+                run = 0
+                while zeros > 15:
+                    self.symbol(0xF0)
+                    zeros -= 16
+                self.symbol(zeros << 4 | abs(v).bit_length())
+                self.signed(v)
+                zeros = 0
+            run += bool(zeros)
+            if run == longest:
+                self.flush(run)
+                run = 0
+        self.flush(run)
+
+    def refine(self, blocks, first, last, low, longest):
+        run, held = 0, []
+        for block in blocks:
+            size = [abs(c) >> low for c in block]
+            final = max((k for k in range(first, last + 1) if size[k] == 1), default=-1)
+            zeros, own = 0, []
+            for k in range(first, last + 1):
+                if not size[k]:
+                    zeros += 1
+                    continue
+                while zeros > 15 and k <= final:
+                    self.flush(run, held)
+                    run, held = 0, []
+                    self.symbol(0xF0)
+                    for bit in own:
+                        self.bits(bit, 1)
+                    zeros, own = zeros - 16, []
+                if size[k] > 1:
+                    own.append(size[k] & 1)
+                    continue
+                self.flush(run, held)
+                run, held = 0, []
+                self.symbol(zeros << 4 | 1)
+                self.bits(int(block[k] > 0), 1)
+                for bit in own:
+                    self.bits(bit, 1)
+                zeros, own = 0, []
+            if zeros or own:
+                run, held = run + 1, held + own
+                if run == longest:
+                    self.flush(run, held)
+                    run, held = 0, []
+        self.flush(run, held)
+
+
+def written(kind, streams, components, first, last, high, low):
+    """A table and a scan of some streams, which are restart intervals."""
+    used = sorted({x for s in streams for x, n in s.parts if n is None})
+    out = []
+    for s in streams:
+        text = "".join(f"{used.index(x):09b}" if n is None else f"{x:0{n}b}" if n else "" for x, n in s.parts)
+        text += "1" * (-len(text) % 8)
+        out.append(int(text or "1", 2).to_bytes(len(text) // 8).replace(b"\xff", b"\xff\0"))
+    body = out[0] + b"".join(b"\xff" + bytes([0xD0 + k % 8]) + x for k, x in enumerate(out[1:]))
+    head = bytes([len(components)]) + b"".join(bytes([c, 0]) for c in components) + bytes([first, last, high << 4 | low])
+    return (media.huffman(kind, used, 9) if used else b"") + media.segment(0xDA, head) + body
+
+
+@pytest.mark.parametrize(("height", "width", "interval"), [(37, 29, 0), (16, 48, 0), (37, 29, 2), (70, 41, 3), (8, 8, 1)])
+def test_reader_reads_any_progressive_file(height, width, interval):
+    """Random coefficients through an encoder of the general kind: scans of both sorts, several codes, runs, restarts."""
+    rng = np.random.default_rng(height)
+    layout = [(1, 2, 2), (2, 1, 1), (3, 1, 1)]
+    columns, rows = -(-width // 16), -(-height // 16)
+    want, own = [], []
+    for _, h, v in layout:
+        a = np.where(rng.random((columns * h * rows * v, 64)) < 0.15, rng.integers(-90, 91, (columns * h * rows * v, 64)), 0)
+        a[:, 40:] = np.where(rng.random(a[:, 40:].shape) < 0.2, a[:, 40:], 0)
+        a[rng.random(len(a)) < 0.3, 1:] = 0
+        a[:, 0] = rng.integers(-200, 200, len(a))
+        w, d = -(-width * h // 16), -(-height * v // 16)
+        seen = [y * columns * h + x for y in range(d) for x in range(w)]
+        outside = np.ones(len(a), bool)
+        outside[seen] = False
+        a[outside, 1:] = 0
+        want.append(a)
+        own.append(seen)
+    units = [[[(r * v + y) * columns * h + c * h + x for y in range(v) for x in range(h)] for r in range(rows) for c in range(columns)] for _, h, v in layout]
+    cut = lambda n: [(lo, min(n, lo + interval)) for lo in range(0, n, interval)] if interval else [(0, n)]
+    data = [b"\xff\xd8", media.segment(0xDB, b"\0" + bytes(range(1, 65)))]
+    data.append(media.segment(0xC2, struct.pack(">BHHB", 8, height, width, 3) + b"".join(bytes([c, h << 4 | v, 0]) for c, h, v in layout)))
+    if interval:
+        data.append(media.segment(0xDD, struct.pack(">H", interval)))
+    for high, low in ((0, 1), (1, 0)):
+        streams = []
+        for lo, hi in cut(columns * rows):
+            streams.append(Encoder())
+            before = [0, 0, 0]
+            for u in range(lo, hi):
+                for c in range(3):
+                    for block in units[c][u]:
+                        value = int(want[c][block, 0]) >> low
+                        if high:
+                            streams[-1].bits(value & 1, 1)
+                        else:
+                            step, before[c] = value - before[c], value
+                            streams[-1].symbol(abs(step).bit_length())
+                            if step:
+                                streams[-1].signed(step)
+        data.append(written(0, streams, [1, 2, 3], 0, 0, high, low))
+    for c in range(3):
+        for first, last, high, low in ((1, 5, 0, 2), (6, 63, 0, 2), (1, 63, 2, 1), (1, 63, 1, 0)):
+            streams = []
+            for lo, hi in cut(len(own[c])):
+                streams.append(Encoder())
+                (streams[-1].refine if high else streams[-1].first)([want[c][b].tolist() for b in own[c][lo:hi]], first, last, low, 5)
+            data.append(written(1, streams, [c + 1], first, last, high, low))
+    whole = b"".join([*data, b"\xff\xd9"])
+    got = media.read_coefficients(whole)
+    assert all((p["array"] == a).all() for p, a in zip(got[2], want, strict=True))
+    rgb = media.to_rgb(*got[:3])
+    zigzag = sorted(range(64), key=lambda p: (p // 8 + p % 8, p // 8 if (p // 8 + p % 8) % 2 else p % 8))
+    at = [(int(y), int(x)) for y, x in zip(rng.integers(0, height, 12), rng.integers(0, width, 12), strict=True)]
+    for y, x in at:
+        planes = []
+        for (_, h, v), a in zip(layout, want, strict=True):
+            py, px = y * v // 2, x * h // 2
+            block = a[py // 8 * columns * h + px // 8]
+            total = 128.0
+            for k, place in enumerate(zigzag):
+                f, g = divmod(place, 8)
+                scale = (np.sqrt(0.125) if f == 0 else 0.5) * (np.sqrt(0.125) if g == 0 else 0.5)
+                total += scale * block[k] * (k + 1) * np.cos((2 * (py % 8) + 1) * f * np.pi / 16) * np.cos((2 * (px % 8) + 1) * g * np.pi / 16)
+            planes.append(min(255, max(0, round(total))))
+        l, b, r = planes[0], planes[1] - 128, planes[2] - 128
+        exact = [l + 1.402 * r, l - 0.344136 * b - 0.714136 * r, l + 1.772 * b]
+        assert all(abs(min(255, max(0, e)) - g) <= 3 for e, g in zip(exact, rgb[y, x].tolist(), strict=True))
 
 
 def test_reader_code_by_code():
@@ -506,15 +716,106 @@ def test_lines_of_all_earlier_documents(spark):
         assert gone_lines(spark, ["\n".join(x) for x in rows]) == want
 
 
-def test_pipeline(spark, tmp_path):
-    rows = [(k, (t or None) and t, "en", s, n) for k, t, _, s, n, _ in texts()]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, rows[10][1][:200])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+def pipeline_rows():
+    """Documents in two learned languages with shared lines, near copies, benchmark passages, junk, nulls and repeats."""
+    r = random.Random(31)
+    alphabet = {"aa": "abcdefg", "cc": "stuvwxyz"}
+    word = lambda s: "".join(r.choice(s) for _ in range(r.randrange(3, 7)))
+    line = lambda lang, n=9: " ".join(word(alphabet[lang]) for _ in range(n))
+    common = {lang: [line(lang) for _ in range(4)] for lang in alphabet}
+    bench = {lang: [line(lang, 20) for _ in range(2)] for lang in alphabet}
+    rows = []
+    for k in range(120):
+        lang = r.choice(list(alphabet))
+        own = [line(lang) for _ in range(r.randrange(2, 8))]
+        if k % 5 == 0:
+            own[1:1] = common[lang][: r.randrange(1, 5)]
+        if k % 11 == 0:
+            own.insert(1, r.choice(bench[lang]))
+        if k % 7 == 0 and (same := [x[1] for x in rows if x[1][0] in alphabet[lang]]):
+            copy = r.choice(same).split(" ")
+            for _ in range(r.randrange(3)):
+                copy[r.randrange(len(copy))] = word(alphabet[lang])
+            own = [" ".join(copy)]
+        rows.append((k, "\n".join(own), lang if k % 4 else None, f"s{k % 3}" if k % 13 else None))
+    rows += [(200, None, "aa", "s0"), (201, "", "aa", None), (202, " 12 ", None, "s1"), (203, "κακό κακό", None, "s1"), (None, rows[0][1], "aa", "s2"), (5, rows[5][1], "aa", "s2")]
+    return [(k, t, lang, source, len(t or "")) for k, t, lang, source in rows], [(k, x) for k, x in enumerate(x for own in bench.values() for x in own)]
+
+
+def brute_lines(docs):
+    """The texts without the lines that alignments with any earlier document delete; no text that loses all."""
+    first = {}
+    for k, text in docs:
+        if k is not None:
+            first.setdefault(k, text)
+    split = lambda text: [x.strip(" ") for x in text.split("\n") if x.strip(" ")]
+    out = []
+    for k, text in docs:
+        gone = set()
+        if k is not None:
+            own = split(text)
+            for j, other in first.items():
+                if j < k:
+                    theirs = split(other)
+                    places = lambda x, x_of: [p for p, y in enumerate(x_of) if y == x]
+                    gone |= blocks([(places(x, own), places(x, theirs), len(x)) for x in sorted(set(own) & set(theirs))], 40)[0]
+        number, left = 0, []
+        for x in text.split("\n"):
+            keep = not x.strip(" ") or number not in gone
+            number += bool(x.strip(" "))
+            left += [x] if keep else []
+        if not gone or "\n".join(left).strip(" "):
+            out.append((k, "\n".join(left)))
+    return out
+
+
+def test_pipeline_is_the_brute_force_one(spark, tmp_path):
+    """Each stage against brute force on what the stage before it kept, and run() against all of them."""
+    rows, bench = pipeline_rows()
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns, name
-        assert not {r.doc_id for r in out.collect()} - {r.doc_id for r in docs.collect()}
-        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
-        docs = out
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    stage = dict(corpus_pipeline.STAGES)
+
+    def step(name, given):
+        got = stage[name](spark, given, str(tmp_path))
+        got.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name)) if name != "mixing" else got
+
+    pairs = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+    named = step("language_id", docs)
+    model = langid.fit(docs)
+    told = [(k, t) for k, t, *_ in rows if (p := model.predict(t))[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE]
+    assert pairs(named) == sorted(told, key=str) and {k for k, _ in told} == {*range(120), None}
+    lined = step("line_dedup", named)
+    left = brute_lines([(x.doc_id, x.text) for x in named.orderBy("doc_id").collect()])
+    assert pairs(lined) == sorted(left, key=str) and all(x.n_chars == len(x.text) for x in lined.collect())
+    single = step("near_dedup", lined)
+    _, label = brute_components([x for x in left if x[0] is not None], 5, 80)
+    want = {x for x in left if x[0] is None or label[x[0]] == x[0]}
+    assert pairs(single) == sorted(want, key=str) and len(want) < len(left)
+    cleaned = step("decontamination", single)
+    hits = brute_contamination(want, bench)
+    want = {x for x in want if not hits[x[0]]}
+    assert pairs(cleaned) == sorted(want, key=str) and len(want) < len(hits)
+    mixed = step("mixing", cleaned)
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/decontamination/*.parquet'")
+    oracle = duck.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE}) WHERE taken > 0").fetchall()
+    assert sorted(map(str, map(tuple, mixed.collect()))) == sorted(map(str, oracle))
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, whole.collect()))) == sorted(map(str, oracle))
+
+
+def test_pipeline_stages_keep_any_columns(spark, tmp_path):
+    """Extra columns with names that operators use, and no documents at all."""
+    rows, bench = pipeline_rows()
+    extra = "same string, kept string, score string, _same string, key string, lines string"
+    docs = spark.createDataFrame([(*x, *"abcdef") for x in rows[:40]], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, run in corpus_pipeline.STAGES:
+        out = run(spark, docs, str(tmp_path))
+        if name != "mixing":
+            assert out.columns == docs.columns and {tuple(x)[5:] for x in out.collect()} == {tuple("abcdef")}, name
+        assert run(spark, docs.limit(0), str(tmp_path)).count() == 0, name
