@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import xml.etree.ElementTree as ElementTree
@@ -145,8 +146,8 @@ def in_folder(path: Column, folder: str) -> Column:
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end: the job's marker is there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+    files, at = _file_system(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return bool(files.exists(at))
 
 
 #: Python types of arguments by their name in text.
@@ -176,6 +177,23 @@ def list_files(spark: SparkSession, path: str, part: str) -> DataFrame:
     return files.filter(F.contains(F.element_at(F.split("path", "/"), -1), F.lit(part)))
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def folder_entries(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
+    """Name, whether it is a folder, and length of what lies in a folder itself, by name. Any store that Spark reads."""
+    files, at = _file_system(spark, path)
+    return sorted((x.getPath().getName(), bool(x.isDirectory()), 0 if x.isDirectory() else int(x.getLen())) for x in files.listStatus(at))
+
+
+def make_folder(spark: SparkSession, path: str) -> bool:
+    """Makes a folder and those above it; true if it is there then."""
+    files, at = _file_system(spark, path)
+    return bool(files.mkdirs(at))
+
+
 def natural_key(name: Column) -> Column:
     """Sorts digits by number and letters without case: each run of digits is padded to 20 places."""
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
@@ -211,6 +229,13 @@ def workflow_ports(xml: str) -> dict:
     return {"inputs": names("inputPorts/port/name"), "outputs": names("outputPorts/port/name"), "processors": names("processors/processor/name"), "links": [(end(x, "source"), end(x, "sink")) for x in flow.findall("datalinks/datalink")]}
 
 
+def port_values(text: str) -> dict[str, list]:
+    """The values of each port from JSON text: an object of ports, or a list of objects with a name and a value or values."""
+    found = json.loads(text)
+    pairs = found.items() if isinstance(found, dict) else [(x["name"], x.get("values", x.get("value"))) for x in found]
+    return {name: list(v) if isinstance(v, list) else [v] for name, v in pairs}
+
+
 def random_triangles(spark: SparkSession, n: int, size: float, space: float, seed: int) -> DataFrame:
     """Seeded test objects: id and a closed triangle of at most `size` with 4 decimals."""
     r = lambda k: F.rand(seed + k)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselle.functions import shapes
-from tesselle.operators import caching, contours, masks, params, regions, stages, tuning
+from tesselle.operators import caching, contours, masks, params, partition, polygon_join, regions, spatial_join, stages, tuning
 from tesselle.sources import files, images
 from tesselle.streaming import continuous
 
@@ -209,3 +209,55 @@ def test_buffers():
     assert shapes.polygon_area(ring) == pytest.approx(w * h + 2 * d * (w + h) + np.pi * d * d, rel=2e-3)
     with pytest.raises(ValueError):
         shapes.buffered([(0, 0)], 0)
+
+
+def test_folders_and_ports(spark, tmp_path):
+    root = str(tmp_path / "a")
+    assert files.make_folder(spark, f"{root}/b/c")
+    (tmp_path / "a" / "x.txt").write_text("four")
+    assert files.folder_entries(spark, root) == [("b", True, 0), ("x.txt", False, 4)]
+    assert files.port_values('{"p": [1, 2], "q": "x"}') == {"p": [1, 2], "q": ["x"]}
+    assert files.port_values('[{"name": "p", "values": [1]}, {"name": "q", "value": 2}]') == {"p": [1], "q": [2]}
+
+
+def test_options_are_checked(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "id long, x0 double, y0 double, x1 double, y1 double")
+    for k, bound in ((0, 1.0), (1, 0.0), (1, -2.0)):
+        with pytest.raises(ValueError):
+            spatial_join.nearest(df, df, k, bound)
+    polygons = df.select("id", F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"))).alias("ring"))
+    for predicate, d in (("st_nothing", 0.0), ("st_dwithin", 0.0), ("st_intersects", -1.0)):
+        with pytest.raises(ValueError):
+            polygon_join.polygon_join(polygons, polygons, predicate, d)
+    for rate in (-0.1, 1.1):
+        with pytest.raises(ValueError):
+            partition.sampled(df, rate, 1)
+    with pytest.raises(ValueError):
+        files.pair_lines(df, "3:1")
+
+
+def test_searches_by_name_and_budgets():
+    axes = [tuning.Axis(0, 4, 1), tuning.Axis(0, 4, 1)]
+    score = lambda points: np.abs(points - 2).sum(axis=1).tolist()
+    assert len(tuning.tune("exhaustive", axes, score).seen) == 25 and tuning.tune("exhaustive", axes, score).best() == ((2.0, 2.0), 0.0)
+    found = tuning.tune("random", axes, score, trials=400)
+    assert len(found.seen) == 25 and found.best()[1] == 0
+    assert tuning.tune("unknown", axes, score).best()[1] <= 1
+    for evaluations in (1, 10, 100, 250):
+        generations, population, elite = tuning.budget(evaluations)
+        assert population % 2 == 0 and generations * population >= evaluations * 0.7 and elite >= 1
+    for wrong in ({"population": 3, "elite": 1}, {"population": 4, "elite": 2}, {"population": 4, "elite": 1, "crossover": 101}):
+        with pytest.raises(ValueError):
+            tuning.genetic(axes, score, 2, **wrong)
+
+
+def test_samples_and_orders(spark):
+    r = random.Random(11)
+    rows = [(k, float(r.randrange(40)), 0.0, float(40 + r.randrange(3)), 1.0) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+    got = partition.sampled(df, 0.25, 3)
+    assert 650 < got.count() < 850 and got.exceptAll(partition.sampled(df, 0.25, 3)).isEmpty()
+    assert partition.sampled(df, 1.0, 3).count() == 3000 and partition.sampled(df, 0.0, 3).count() == 0
+    place = {x.id: x.place for x in partition.centre_order(df).collect()}
+    assert [k for k, _ in sorted(place.items(), key=lambda x: x[1])] == [x[0] for x in sorted(rows, key=lambda x: (x[1] + x[3], x[0]))]
+    assert partition.centre_order(df.limit(0)).count() == 0
