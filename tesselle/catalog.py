@@ -562,6 +562,23 @@ _polygons("polygon_within", "st_within", "inter > 0 AND inter = area1")
 _polygons("polygon_dwithin", "st_dwithin", "d2 <= 9", 3.0)
 
 
+def _overlap(x0: str, y0: str, x1: str, y1: str) -> str:
+    return f"(greatest(least({x1},b.x1)-greatest({x0},b.x0),0)*greatest(least({y1},b.y1)-greatest({y0},b.y0),0))"
+
+
+FRAMED = f"{_overlap('a.x0', 'a.y0', 'a.x1', 'a.y1')} - {_overlap('a.x0+4', 'a.y0+4', 'a.x1-4', 'a.y1-4')}"
+
+
+@query(f"SELECT id1, id2, area1, area2, inter::DOUBLE AS intersect_area FROM (SELECT a.id AS id1, b.id AS id2, ({A1} - (a.x1-a.x0-8)*(a.y1-a.y0-8))::DOUBLE AS area1, {A2}::DOUBLE AS area2, {FRAMED} AS inter FROM rect_u a JOIN rect_b b ON {MEET}) WHERE inter > 0")
+def polygon_holes(spark, sf):
+    ring = lambda x0, y0, x1, y1: F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    x0, y0, x1, y1 = (F.col(c) for c in sj.BOX)
+    frames = fixture(spark, sf, "rect_u").select("id", ring(x0, y0, x1, y1).alias("ring"), F.array(ring(x0 + 4, y0 + 4, x1 - 4, y1 - 4)).alias("holes"))
+    plain = fixture(spark, sf, "rect_b").select("id", ring(x0, y0, x1, y1).alias("ring"))
+    p = polygon_join.polygon_join(frames, plain, "st_intersects").filter("intersect_area > 0")
+    return p.select("id1", "id2", *[F.round(c, 6).alias(c) for c in ("area1", "area2", "intersect_area")])
+
+
 @query()
 def morph_reconstruction(spark, sf):
     level = F.col("label") * 30

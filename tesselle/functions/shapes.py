@@ -20,6 +20,25 @@ def ring_of(wkt: Column) -> Column:
     return F.when(F.regexp_like(wkt, F.lit(WKT)) & whole, ring)
 
 
+#: A polygon with holes: its rings in parentheses of their own.
+RINGS = r"(?i)^\s*POLYGON\s*\(\s*\([^()]*\)(\s*,\s*\([^()]*\))*\s*\)\s*$"
+
+
+def holes_of(wkt: Column) -> Column:
+    """The holes of a POLYGON as an array of rings, empty without any; null for broken text."""
+    number = lambda p, k: F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(k)).try_cast("double")
+    ring = lambda text: F.transform(F.split(F.trim(text), r"\s*,\s*"), lambda p: F.struct(number(p, 1).alias("x"), number(p, 2).alias("y")))
+    rings = F.transform(F.regexp_extract_all(wkt, F.lit(r"\(([^()]*)\)"), 1), ring)
+    whole = F.forall(rings, lambda r: F.forall(r, lambda v: v["x"].isNotNull() & v["y"].isNotNull()))
+    return F.when(F.regexp_like(wkt, F.lit(RINGS)) & whole, F.slice(rings, 2, 1 << 30))
+
+
+def outline_of(wkt: Column) -> Column:
+    """The outer ring of a POLYGON with or without holes, or what ring_of gives."""
+    outer = F.regexp_replace(wkt, r"(?s)^(\s*\w+\s*\(\s*\([^()]*\)).*$", "$1)")
+    return F.when(F.regexp_like(wkt, F.lit(RINGS)) & holes_of(wkt).isNotNull(), ring_of(outer)).otherwise(ring_of(wkt))
+
+
 def kind_of(wkt: Column) -> Column:
     return F.upper(F.regexp_extract(wkt, WKT, 1))
 

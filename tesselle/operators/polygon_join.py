@@ -31,70 +31,92 @@ PREDICATES = {
 
 
 def pieces(df: DataFrame) -> DataFrame:
-    """id, parts (triangles, 6 numbers each), ring (the opened ring, 2 numbers a corner), area and the box of each
-    polygon (id, ring). Each polygon is cut once, before it meets any other. Rings that are null or empty, or cross
-    or touch themselves, are dropped."""
+    """id, parts (triangles, 6 numbers each), signs (1, or -1 for parts of holes), rings (opened ones, 2 numbers a corner),
+    sizes (corners of each ring), area and the box of each polygon (id, ring, and holes if there is such a column).
+
+    Each polygon is cut once, before it meets any other. Holes lie inside their polygon and apart from each other. Polygons
+    with a ring that is null or empty, or crosses or touches itself, are dropped; null holes are none.
+    """
+
+    def cut(points: list[tuple[float, float]]) -> tuple[list, list]:
+        parts = [p for p in polygons.triangles(points) if len(p) == 3 and polygons.polygon_area(p) > 0]
+        return [p if polygons.cross(*p) > 0 else p[::-1] for p in parts], polygons.opened(points) or points[:1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for id_, flat in zip(frame["id"], frame["flat"], strict=True):
-                points = list(zip(flat[::2].tolist(), flat[1::2].tolist(), strict=True))
+            for id_, flat, inner in zip(frame["id"], frame["flat"], frame["holes"], strict=True):
+                every = [flat, *inner]
                 try:
-                    parts = [p for p in polygons.triangles(points) if len(p) == 3 and polygons.polygon_area(p) > 0]
+                    found = [cut(list(zip(x[::2].tolist(), x[1::2].tolist(), strict=True))) for x in every if len(x)]
                 except ValueError:
                     continue
-                ring = polygons.opened(points) or points[:1]
-                corners = np.array([p if polygons.cross(*p) > 0 else p[::-1] for p in parts]).reshape(-1)
-                area = sum(polygons.polygon_area(p) for p in parts)
-                x, y = zip(*ring, strict=True)
-                out.append((id_, corners, np.array(ring).reshape(-1), area, min(x), min(y), max(x), max(y)))
-            yield pd.DataFrame(out, columns=["id", "parts", "ring", "area", "x0", "y0", "x1", "y1"])
-
-    flat = F.flatten(F.transform("ring", lambda v: F.array(v["x"].cast("double"), v["y"].cast("double")))).alias("flat")
+                parts = [p for own, _ in found for p in own]
+                signs = [1.0 if k == 0 else -1.0 for k, (own, _) in enumerate(found) for _ in own]
+                area = sum(sign * polygons.polygon_area(p) for sign, p in zip(signs, parts, strict=True))
+                x, y = zip(*found[0][1], strict=True)
+                out.append((id_, np.array(parts).reshape(-1), signs, np.concatenate([np.array(r).reshape(-1) for _, r in found]), [len(r) for _, r in found], area, min(x), min(y), max(x), max(y)))
+            yield pd.DataFrame(out, columns=["id", "parts", "signs", "rings", "sizes", "area", "x0", "y0", "x1", "y1"])
+
+    numbers = lambda ring: F.flatten(F.transform(ring, lambda v: F.array(v["x"].cast("double"), v["y"].cast("double"))))
     whole = F.forall("ring", lambda v: v["x"].isNotNull() & v["y"].isNotNull())
-    return df.filter(F.size("ring") > 0).filter(whole).select("id", flat).mapInPandas(run, "id long, parts array<double>, ring array<double>, area double, x0 double, y0 double, x1 double, y1 double")
+    none = F.array().cast("array<array<double>>")
+    holes = F.coalesce(F.transform("holes", numbers), none) if "holes" in df.columns else none
+    rows = df.filter(F.size("ring") > 0).filter(whole).select("id", numbers(F.col("ring")).alias("flat"), holes.alias("holes"))
+    return rows.mapInPandas(run, "id long, parts array<double>, signs array<double>, rings array<double>, sizes array<int>, area double, x0 double, y0 double, x1 double, y1 double")
 
 
 def measures(a: DataFrame, b: DataFrame, d: float = 0.0, distances: bool = True) -> DataFrame:
-    """id1, id2, area1, area2, inter, distance, meets of each pair (id, ring) whose boxes are within d of each other.
+    """id1, id2, area1, area2, inter, distance, meets of each pair (id, ring, and holes if any) whose boxes are within d of
+    each other.
 
-    The common area is set to the smaller area where it differs from it by a rounding error. Polygons are plain rings
-    without holes. Without `distances`, that of pairs that don't meet is null. All pairs of pieces in a batch are
-    measured together.
+    A polygon is its outer ring less its holes, so areas in common are sums over pairs of parts with the product of their
+    signs. The common area is set to the smaller area where it differs from it by a rounding error. Without holes
+    two polygons meet if any of their parts do; with holes if they have area in common or their rings touch. Without
+    `distances`, that of pairs that don't meet is null. All pairs of parts in a batch are measured together.
     """
 
+    def rings_of(flat: np.ndarray, sizes: np.ndarray) -> list[list[tuple[float, float]]]:
+        corners = list(zip(flat[::2].tolist(), flat[1::2].tolist(), strict=True))
+        ends = np.cumsum(sizes).tolist()
+        return [corners[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             one, two = ([x.reshape(-1, 3, 2) for x in frame[c]] for c in ("a_parts", "b_parts"))
             n, m = (np.array([len(x) for x in side], np.int64) for side in (one, two))
             pair = np.repeat(np.arange(len(frame)), n * m)
             at = np.arange(len(pair)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            first, second = (np.cumsum(n) - n)[pair] + at // np.maximum(m[pair], 1), (np.cumsum(m) - m)[pair] + at % np.maximum(m[pair], 1)
             none = np.empty((0, 3, 2))
-            p = np.concatenate([none, *one])[(np.cumsum(n) - n)[pair] + at // np.maximum(m[pair], 1)]
-            q = np.concatenate([none, *two])[(np.cumsum(m) - m)[pair] + at % np.maximum(m[pair], 1)]
+            p, q = np.concatenate([none, *one])[first], np.concatenate([none, *two])[second]
             near = ((p.min(axis=1) <= q.max(axis=1)) & (q.min(axis=1) <= p.max(axis=1))).all(axis=1)
+            sign = np.concatenate([np.empty(0), *frame["a_signs"]])[first[near]] * np.concatenate([np.empty(0), *frame["b_signs"]])[second[near]]
             pair, p, q = pair[near], p[near], q[near]
             met = polygons.triangles_meet(p, q)
             meets = np.bincount(pair[met], minlength=len(frame)) > 0
-            inter = np.bincount(pair[met], polygons.common_areas(p[met], q[met]), minlength=len(frame))
+            inter = np.bincount(pair[met], sign[met] * polygons.common_areas(p[met], q[met]), minlength=len(frame))
             area1, area2 = frame["a_area"].to_numpy(), frame["b_area"].to_numpy()
-            distance = np.where(meets, 0.0, np.nan)
-            for k in np.flatnonzero(~meets).tolist():
-                ring1, ring2 = (list(zip(x[::2].tolist(), x[1::2].tolist(), strict=True)) for x in (frame["a_ring"].iat[k], frame["b_ring"].iat[k]))
-                if not n[k] or not m[k]:  # one of them has no area
-                    shapes = [[tuple(map(tuple, t)) for t in side[k].tolist()] or [ring] for side, ring in ((one, ring1), (two, ring2))]
-                    meets[k] = polygons.intersects(*shapes)
-                if meets[k] or distances:
-                    distance[k] = 0.0 if meets[k] else polygons.ring_distance(ring1, ring2)
             slack = polygons.SAME * np.maximum(area1, area2)
             inter[inter <= slack] = 0.0
             for area in (np.maximum(area1, area2), np.minimum(area1, area2)):
                 inter = np.where((inter > 0) & (np.abs(inter - area) <= slack), area, inter)
+            pierced = (frame["a_sizes"].str.len().to_numpy() > 1) | (frame["b_sizes"].str.len().to_numpy() > 1)
+            distance = np.where(meets, 0.0, np.nan)
+            for k in np.flatnonzero(~meets | pierced & (inter == 0)).tolist():
+                ours, theirs = rings_of(frame["a_rings"].iat[k], frame["a_sizes"].iat[k]), rings_of(frame["b_rings"].iat[k], frame["b_sizes"].iat[k])
+                if not n[k] or not m[k]:  # one of them has no area
+                    shapes = [[tuple(map(tuple, t)) for t in side[k].tolist()] or [rings[0]] for side, rings in ((one, ours), (two, theirs))]
+                    meets[k] = polygons.intersects(*shapes)
+                if meets[k] and pierced[k] or not meets[k] and distances:
+                    gap = min(polygons.ring_distance(r, t) for r in ours for t in theirs)
+                    meets[k] &= gap <= polygons.SAME * max(1.0, float(np.abs(frame["a_rings"].iat[k]).max()))
+                    distance[k] = gap
+                distance[k] = 0.0 if meets[k] else distance[k] if distances else np.nan
             yield pd.DataFrame({"id1": frame["a_id"], "id2": frame["b_id"], "area1": area1, "area2": area2, "inter": inter, "distance": distance, "meets": meets})
 
     near = spatial_join(pieces(a), pieces(b), lambda p, q: boxes.within_distance(p, q, d), d)
-    return near.select(*[f"{s}_{c}" for s in "ab" for c in ("id", "parts", "ring", "area")]).mapInPandas(run, MEASURED)
+    return near.select(*[f"{s}_{c}" for s in "ab" for c in ("id", "parts", "signs", "rings", "sizes", "area")]).mapInPandas(run, MEASURED)
 
 
 def polygon_join(a: DataFrame, b: DataFrame, predicate: str, d: float = 0.0) -> DataFrame:

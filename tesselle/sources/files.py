@@ -12,14 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shapes import envelope, ring_of, to_wkt
+from ..functions.shapes import envelope, holes_of, outline_of, to_wkt
 
 
 def read_objects(spark: SparkSession, path: str, geometry: int, n_fields: int) -> DataFrame:
-    """Tabbed lines with a geometry in the given field (from 1): f1.., ring and its box. Lines without one are dropped."""
+    """Tabbed lines with a geometry in the given field (from 1): f1.., ring, holes and the box. Lines without one are dropped."""
     schema = ", ".join(f"f{k} string" for k in range(1, n_fields + 1))
     rows = spark.read.csv(path, sep="\t", schema=schema, quote='"')
-    rows = rows.filter(F.length(f"f{geometry}") >= 2).withColumn("ring", ring_of(F.col(f"f{geometry}")))
+    rows = rows.filter(F.length(f"f{geometry}") >= 2).withColumn("ring", outline_of(F.col(f"f{geometry}")))
+    rows = rows.withColumn("holes", F.coalesce(holes_of(F.col(f"f{geometry}")), F.array().cast("array<array<struct<x:double,y:double>>>")))
     return rows.filter("ring is not null").select("*", *envelope(F.col("ring")))
 
 

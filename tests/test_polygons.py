@@ -70,6 +70,48 @@ def test_polygon_join_is_the_brute_force_join(spark):
             polygon_join.polygon_join(frame(a), frame(b), *bad)
 
 
+def test_polygons_with_holes(spark):
+    """Rectangles with rectangular holes on a grid of cells: every predicate against sets of cells."""
+    r = random.Random(12)
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    cells = lambda x0, y0, x1, y1: {(x, y) for x in range(x0, x1) for y in range(y0, y1)}
+
+    def some(k):
+        x, y, w, h = r.randrange(8), r.randrange(8), r.randrange(5, 12), r.randrange(5, 12)
+        hole = (x + 1, y + 1, x + r.randrange(2, w), y + r.randrange(2, h)) if k % 3 else None
+        if k % 5 == 0:  # small ones, which may lie in a hole
+            w, h, hole = 1, 1, None
+        return k, box(x, y, x + w, y + h), [box(*hole)] if hole else None, cells(x, y, x + w, y + h) - (cells(*hole) if hole else set())
+
+    a, b = ([some(k) for k in range(30)] for _ in range(2))
+    b.append((30, *some(1)[1:3], None))
+    b[-1] = (30, a[1][1], a[1][2], a[1][3])
+    point = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    frame = lambda side: spark.createDataFrame([(k, point(ring), [point(x) for x in holes] if holes else None) for k, ring, holes, _ in side], "id long, ring array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>")
+    touch = lambda p, q: any(abs(x - u) <= 1 and abs(y - v) <= 1 for x, y in p for u, v in q)
+    pairs = {(p[0], q[0]): (p[3], q[3]) for p in a for q in b}
+    want = {
+        "st_intersects": {k for k, (p, q) in pairs.items() if touch(p, q)},
+        "st_touches": {k for k, (p, q) in pairs.items() if touch(p, q) and not p & q},
+        "st_contains": {k for k, (p, q) in pairs.items() if q <= p},
+        "st_within": {k for k, (p, q) in pairs.items() if p <= q},
+        "st_equals": {k for k, (p, q) in pairs.items() if p == q},
+        "st_overlaps": {k for k, (p, q) in pairs.items() if p & q and p - q and q - p},
+        "st_dwithin": {k for k, (p, q) in pairs.items() if min(max(abs(x - u) - 1, 0) ** 2 + max(abs(y - v) - 1, 0) ** 2 for x, y in p for u, v in q) <= 1},
+    }
+    assert want["st_touches"] and want["st_equals"] and want["st_contains"]
+    for name, expected in want.items():
+        got = polygon_join.polygon_join(frame(a), frame(b), name, 1.0 if name == "st_dwithin" else 0.0).collect()
+        assert {(x.id1, x.id2) for x in got} == expected, name
+        assert all(x.intersect_area == pytest.approx(len(pairs[x.id1, x.id2][0] & pairs[x.id1, x.id2][1])) for x in got)
+
+
+def test_holes_in_text(spark, tmp_path):
+    (tmp_path / "o.tsv").write_text("1\tPOLYGON((0 0,9 0,9 9,0 0),(5 1,6 1,6 2,5 1), (7 1,8 1,8 2,7 1))\n2\tPOLYGON((0 0,2 0,2 2,0 0))\n3\tPOLYGON((0 0,2 0,2 2,0 0),(a 1))\n4\tPOINT(3 4)\n")
+    got = {x.f1: x for x in files.read_objects(spark, str(tmp_path / "o.tsv"), 2, 2).collect()}
+    assert {k: (len(x.ring), [len(h) for h in x.holes]) for k, x in got.items()} == {"1": (4, [4, 4]), "2": (4, []), "4": (1, [])}
+
+
 def test_reconstruction_is_independent_of_tiles(spark):
     r = random.Random(5)
     mask = {(y, x): r.choice([0, 3, 5, 9]) for y in range(20) for x in range(20)}
