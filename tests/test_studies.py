@@ -179,7 +179,7 @@ def test_tuning_sessions(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 72
     rule = tuning.within(lambda p: p["x"] <= p["y"], ["x", "y"], lambda points: [p.sum() for p in points])
     assert rule(np.array([[1.0, 2.0], [3.0, 1.0], [2.0, 2.0]])) == [3.0, float("inf"), 4.0]
-    assert len(tuning.spaces("nscale")) == 15 and len(tuning.spaces("yi")) == 7 and tuning.spaces("yi")["mpp"].count == 1
+    assert len(tuning.spaces("watershed")) == 15 and len(tuning.spaces("levelset")) == 7 and tuning.spaces("levelset")["mpp"].count == 1
 
 
 def test_morris_finds_the_axes_that_matter():
