@@ -791,5 +791,14 @@ def stream_bbox(spark, sf):
     return continuous.replay(spark, f"{sf}/events.parquet", continuous.EVENTS, (100, 100, 400, 400), f"{folder}/out", f"{folder}/state").select("event_id", "x0", "y0", "value")
 
 
+STEP = "x & (s-1) AS u, y & (s-1) AS v, (x & s > 0)::BIGINT AS rx, (y & s > 0)::BIGINT AS ry"
+
+
+@query(f"WITH h(id, x, y, d, s) AS (SELECT id, x0::BIGINT, y0::BIGINT, 0::BIGINT, 512::BIGINT FROM rect_a UNION ALL SELECT id, CASE WHEN ry=1 THEN u WHEN rx=1 THEN s-1-v ELSE v END, CASE WHEN ry=1 THEN v WHEN rx=1 THEN s-1-u ELSE u END, d + s*s*xor(3*rx, ry), s//2 FROM (SELECT id, d, s, {STEP} FROM h WHERE s > 0)) SELECT id, d AS place FROM h WHERE s = 0")
+def hilbert_places(spark, sf):
+    return fixture(spark, sf, "rect_a").select("id", shapes.hilbert(F.col("x0"), F.col("y0"), 10).alias("place"))
+
+
 for _name in ("object_features", "distance_transform", "channel_features", "cross_validation"):  # their own WITH follows that of the fixtures
     ORACLES[_name] = ORACLES[_name].replace(" WITH im AS", ", im AS").replace(" WITH px AS", ", px AS").replace(" WITH parts AS", ", parts AS")
+ORACLES["hilbert_places"] = ORACLES["hilbert_places"].replace("WITH ", "WITH RECURSIVE ", 1).replace(" WITH h", ", h")

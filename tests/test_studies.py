@@ -78,6 +78,29 @@ def test_hulls_take_the_ends_of_rows(spark):
     assert got == want
 
 
+def test_hull_overlaps_are_the_brute_force_ones(spark):
+    r = random.Random(5)
+    sides = [[(t, r.randrange(30), r.randrange(30), 1 + r.randrange(6)) for t in range(3) for _ in range(40)] for _ in range(2)]
+    a, b = (masks.hulls(spark.createDataFrame(x, "tile int, y int, x int, label int")) for x in sides)
+
+    def hull(rows, tile, label):
+        return shapes.convex_hull([(float(x), float(y)) for t, y, x, v in rows if (t, v) == (tile, label)])
+
+    want = {}
+    for t in range(3):
+        for p in range(1, 7):
+            for q in range(1, 7):
+                one, two = hull(sides[0], t, p), hull(sides[1], t, q)
+                area = shapes.polygon_area(shapes.clip(one, two)) if len(one) > 2 and len(two) > 2 else 0
+                if area > 0:
+                    want[t, p, q] = area
+    got = {(x.tile, x.label_a, x.label_b): x.inter for x in masks.hull_overlaps(a, b).collect()}
+    assert got == pytest.approx(want) and len(want) > 20
+    sums = masks.dice_of(masks.hull_overlaps(a, b).select("inter"), a, b).first()
+    whole = [sum(shapes.polygon_area(hull(rows, t, v)) for t in range(3) for v in range(1, 7)) for rows in sides]
+    assert sums.dice == pytest.approx(2 * sum(want.values()) / sum(whole), abs=1e-8)
+
+
 def test_caches_are_replayed(spark):
     log = [("w", k, key, 1) for k, key in enumerate("abcabdaeb")] + [("v", 0, "big", 9), ("v", 1, "big", 9), (None, 1, "x", 1)]
     df = spark.createDataFrame(log, "worker string, at long, key string, size long")
