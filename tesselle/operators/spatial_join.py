@@ -31,19 +31,22 @@ def _width(df: DataFrame, d: float) -> Column:
     return F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double") + F.lit(2.0 * d)
 
 
-def _level(width: Column, least: float) -> Column:
-    return F.ceil(F.log(F.greatest(width, F.lit(least))) / F.lit(math.log(4.0))).cast("int")
+def _level(width: Column, finest: int) -> Column:
+    """The finest level, of those from `finest` on, whose cells are as wide as a box."""
+    own = F.ceil(F.log(F.when(width > 0, width)) / F.lit(math.log(4.0))).cast("int")
+    return F.greatest(F.coalesce(own, F.lit(finest)), F.lit(finest))
 
 
-def levels(a: DataFrame, b: DataFrame, d: float) -> tuple[float, list[int], list[int]]:
-    """The least width that counts, and the levels that either side has boxes of: a handful of numbers."""
+def levels(a: DataFrame, b: DataFrame, d: float) -> tuple[int, list[int], list[int]]:
+    """The finest level, and the levels that either side has boxes of: a handful of numbers, from one pass."""
     both = a.select(*BOX, _width(a, d).alias("w"), F.lit(0).alias("side")).union(b.select(*BOX, _width(b, 0).alias("w"), F.lit(1).alias("side"))).dropna()
-    whole = both.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
-    if whole[0] is None:
-        return 1.0, [], []
-    least = max(float(whole[2] - whole[0]), float(whole[3] - whole[1]), float(d), 1e-9) * FINEST
-    found = both.select("side", _level(F.col("w"), least).alias("level")).distinct().collect()
-    return least, *(sorted(x.level for x in found if x.side == side) for side in (0, 1))
+    level = _level(F.col("w"), -10_000)
+    row = both.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), *[F.collect_set(F.when(F.col("side") == side, level)) for side in (0, 1)]).first()
+    if row[0] is None:
+        return 0, [], []
+    least = max(float(row[2] - row[0]), float(row[3] - row[1]), float(d), 1e-9) * FINEST
+    finest = math.ceil(math.log(least, 4.0))
+    return finest, *(sorted({max(x, finest) for x in found}) for found in row[4:])
 
 
 def _tiled(df: DataFrame, prefix: str, d: float, place: Column) -> DataFrame:
@@ -67,9 +70,12 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: Callable[[Box, Box], Col
     if cell is not None:
         first = second = F.array(spot(1, F.lit(0), F.lit(float(cell))))
     else:
-        least, has_a, has_b = levels(a, b, d)
-        own_a, own_b = _level(_width(a, d), least), _level(_width(b, 0), least)
-        size = lambda level: F.pow(F.lit(4.0), level)
+        finest, has_a, has_b = levels(a, b, d)
+        own_a, own_b = _level(_width(a, d), finest), _level(_width(b, 0), finest)
+        if not has_a or not has_b:
+            a, b, has_a = a.filter(F.lit(False)), b.filter(F.lit(False)), [finest]
+        sizes = F.create_map(*[F.lit(v) for x in sorted({*has_a, *has_b}) for v in (x, 4.0**x)])
+        size = lambda level: sizes[level]
         coarser = lambda kind, has, than, strict: [F.when(F.lit(x) > than if strict else F.lit(x) >= than, spot(kind, F.lit(x), F.lit(4.0**x))) for x in has]
         # kind 1: the first box is as wide as the cells, or both are; kind 2: only the second is
         first = F.array_compact(F.array(spot(1, own_a, size(own_a)), *coarser(2, has_b, own_a, True)))

@@ -49,7 +49,7 @@ def test_candidates_of_clusters_and_wide_boxes_stay_few(spark):
     spot = [(k, x := 500 + r.random(), y := 500 + r.random(), x + 0.004, y + 0.004) for k in range(2000)]
     spread = [(2000 + k, x := r.random() * 1000, y := r.random() * 1000, x + 3, y + 3) for k in range(2000)]
     rows = spark.createDataFrame([*spot, *spread, (9999, 0.0, 0.0, 1003.0, 1003.0)], SCHEMA)
-    least, has_a, has_b = sj.levels(rows, rows, 0.0)
+    _, has_a, _ = sj.levels(rows, rows, 0.0)
     assert len(has_a) == 3
     pairs = sj.spatial_join(rows, rows, boxes.intersects).count()
     plan_rows = sum(1 for p in spot for q in spot if abs(p[1] - q[1]) < 0.016 and abs(p[2] - q[2]) < 0.016)
