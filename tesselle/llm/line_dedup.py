@@ -131,9 +131,9 @@ def overlaps(docs: DataFrame, least_chars: int = 40) -> DataFrame:
     hot = max(1_000, docs.count() // MOST_HOT)
     part = lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == 0).groupBy("hash").agg(F.count("*").alias("n"))
     common = hottest(part, "hash", hot // PART)
-    by_doc = lines.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.max("chars").alias("chars"))
-    often = by_doc.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = checkpoint(join_salted(by_doc, often, "hash", common))
+    often = lines.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("hash")
+    found = join_salted(lines, often, "hash", common)
+    shared = checkpoint(found.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.max("chars").alias("chars")))
     rows = 2 * shared.count()
 
     def seek(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
