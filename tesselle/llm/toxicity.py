@@ -52,6 +52,8 @@ ACCEPTS = {INSULT: LINKED | EDGE | PILED | AIMED, THREAT: INTENDED | AIMED}
 RETRO = {INSULT: PILED | LAST | BACK, THREAT: BACK}
 WEIGHTS = {AIMED: 1.3, PILED: 1.2, BACK: 1.2, NEGATED: 0.3, REPORTED: 0.5}
 CLAUSE = re.compile(rb"[.;:!?\n|]+")
+#: Words whose contexts are told apart together.
+AT_ONCE = 50_000
 #: A stem has so many bytes at least and at most; shorter words are known as a whole only.
 SHORT, LONG = 4, 9
 
@@ -158,13 +160,15 @@ class Kinds(dict):
 
     def __init__(self, insults: dict[bytes, float]):
         super().__init__()
-        self.insults = insults
+        self.insults, self.begins = insults, {x[:SHORT] for x in insults}
         self.fixed = {w.encode(): (kind, THREATENS if kind == THREAT else 0.0) for kind, text in LISTS.items() for w in text.split()}
 
     def __missing__(self, word: bytes) -> tuple[str, float]:
         if len(self) > 200_000:
             self.clear()
-        stems = [] if word in self.fixed else [head(word), *(word[:n] for n in range(min(LONG, len(word)), SHORT - 1, -1))]
+        key = head(word)
+        likely = key[:SHORT] in self.begins and word not in self.fixed  # most words begin as no stem does
+        stems = [key, *(word[:n] for n in range(min(LONG, len(word)), SHORT - 1, -1))] if likely else []
         learned = next((self.insults[x] for x in stems if x in self.insults), None)
         found = self[word] = self.fixed.get(word, (OTHER, 0.0)) if learned is None else (INSULT, learned)
         return found
@@ -241,13 +245,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, ratio: float
     texts = checkpoint(texts.filter("text is not null"))  # about 2 * per_class ids were sent to the scan, so no text is shuffled
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, heads, around, toxic = WordHashes(), [], [], []
+
+        def tallied() -> pd.DataFrame:
+            context = np.concatenate([np.empty(0, np.uint64), *around]).view(np.int64)
+            rows = pd.DataFrame({"head": heads, "context": context, "toxic": np.array(toxic, np.int32)})
+            return rows.drop_duplicates(["context", "toxic"])  # the context is a hash of the word, too
+
         for frame in frames:
             for text, label in zip(frame["text"], frame["toxic"], strict=True):
                 words = text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split()
                 padded = np.concatenate([[np.uint64(0)], hashes.of(words), [np.uint64(0)]])
-                around = mix(mix(mix(padded[:-2] + np.uint64(1)) + padded[1:-1]) + padded[2:])
-                yield pd.DataFrame({"head": [head(w) for w in words], "context": around.view(np.int64), "toxic": np.int32(label)}).drop_duplicates()
+                around.append(mix(mix(mix(padded[:-2] + np.uint64(1)) + padded[1:-1]) + padded[2:]))
+                heads += [head(w) for w in words]
+                toxic += [label] * len(words)
+                if len(heads) > AT_ONCE:
+                    yield tallied()
+                    heads, around, toxic = [], [], []
+        yield tallied()
 
     seen = texts.mapInPandas(contexts, "head binary, context long, toxic int").distinct()
     tally = checkpoint(seen.groupBy("head").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
