@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesselle.functions import boxes, polygons, shapes
 from tesselle.operators import masks, partition, reconstruction
@@ -149,3 +150,15 @@ def test_batches_of_triangles_are_measured_as_one_by_one():
         one, two = [tuple(x) for x in p[k]], [tuple(x) for x in q[k]]
         assert meet[k] == shapes.convex_intersects(one, two)
         assert areas[k] == pytest.approx(shapes.polygon_area(shapes.clip(one, two)), abs=1e-9)
+
+
+def test_pairs_of_a_small_dense_table_are_shared_out(spark):
+    """4,000 boxes make 8 million candidates or so: few bytes to shuffle, but too many pairs for one task."""
+    r = random.Random(5)
+    rows = [(k, x := r.random() * 100, y := r.random() * 100, x + 1 + r.random() * 14, y + 1 + r.random() * 14) for k in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    pairs = sj.spatial_join(df, df, boxes.intersects)
+    shares = [x["count"] for x in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    low, high = (np.array([x[k : k + 2] for x in rows]) for k in (1, 3))
+    want = sum(int(((low <= high[k]) & (low[k] <= high)).all(axis=1).sum()) for k in range(4000))
+    assert sum(shares) == want and max(shares) < 0.8 * want
