@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -149,3 +150,13 @@ def test_continuous_query_sees_what_a_batch_sees(spark, tmp_path):
     q = continuous.register(spark, str(tmp_path / "in"), (50, 0, 120, 40), lambda df, _: seen.extend(r.event_id for r in df.collect()), str(tmp_path / "state"))
     q.awaitTermination()
     assert sorted(seen) == sorted(r.event_id for r in continuous.within(rows, 50, 0, 120, 40).collect())
+
+
+def test_binary_cuts_take_time_in_line_with_the_boxes(spark):
+    """60,000 boxes are cut within seconds: the spread of a tile's centres takes one pass, not one for each centre."""
+    r = random.Random(8)
+    rows = [(k, x := r.random() * 1000, y := r.random() * 1000, x + 0.1, y + 0.1) for k in range(60_000)]
+    df = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+    began = time.monotonic()
+    tiles = partition.binary_tiles(df, 1000).count()
+    assert 60 <= tiles <= 200 and time.monotonic() - began < 25
