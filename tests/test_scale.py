@@ -6,11 +6,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tesselle.functions import boxes, polygons, shapes
-from tesselle.operators import masks, partition, reconstruction
+from tesselle.operators import masks, partition, reconstruction, tiles
 from tesselle.operators import spatial_join as sj
 from tesselle.operators.graph import label_components
 
@@ -162,3 +163,31 @@ def test_pairs_of_a_small_dense_table_are_shared_out(spark):
     low, high = (np.array([x[k : k + 2] for x in rows]) for k in (1, 3))
     want = sum(int(((low <= high[k]) & (low[k] <= high)).all(axis=1).sum()) for k in range(4000))
     assert sum(shares) == want and max(shares) < 0.8 * want
+
+
+def test_tiles_hold_bounded_parts_and_each_near_pair_once(spark):
+    a, b = uneven(11, 150) + [(1000 + k, 7.0, 7.0, 9.0, 9.0) for k in range(100)], uneven(12, 120) + [(2000 + k, 8.0, 8.0, 8.0, 8.0) for k in range(80)]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        one, two = tiles.numbers(left), tiles.numbers(right)
+        pairs = [(p, q) for at, among in tiles.near(one, two, 2.5, 8) for p, q in zip(*np.nonzero(tiles.distances(one[at], two[among]) <= 2.5), strict=True) for p, q in [(at[p], among[q])]]
+        ids = lambda table, k: pa.array([table["id"][int(x[k])].as_py() for x in pairs], pa.int64())
+        return pa.table({"u": ids(left, 0), "v": ids(right, 1), "n": pa.array([len(left)] * len(pairs), pa.int64()), "m": pa.array([len(right)] * len(pairs), pa.int64())})
+
+    got = tiles.in_tiles(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), 2.5, run, "u long, v long, n long, m long", (20, 30)).collect()
+    gap = lambda p, q: math.hypot(max(p[1] - q[3], q[1] - p[3], 0), max(p[2] - q[4], q[2] - p[4], 0))
+    assert sorted((x.u, x.v) for x in got) == sorted((p[0], q[0]) for p in a for q in b if gap(p, q) <= 2.5)
+    assert max(x.n for x in got) < 60 and max(x.m for x in got) < 90
+
+
+@pytest.mark.parametrize(("k", "bound"), [(3, 40.0), (20, 5.0)])
+def test_nearest_of_uneven_boxes(spark, k, bound):
+    """Ties by id, far boxes, and rows that share an id or have none, which are ranked together."""
+    a, b = [*uneven(21, 90), (None, 3.0, 3.0, 4.0, 4.0), (5, 900.0, 900.0, 901.0, 901.0)], [*uneven(22, 110), *[(300 - n, 900.0, 900.0, 901.0, 901.0) for n in range(40)]]
+    got = sj.nearest(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), k, bound).collect()
+    gap = lambda p, q: math.sqrt(max(p[1] - q[3], q[1] - p[3], 0) ** 2 + max(p[2] - q[4], q[2] - p[4], 0) ** 2)
+    want = []
+    for name in {x[0] for x in a}:
+        found = sorted((gap(p, q), q[0]) for p in a if p[0] == name for q in b if gap(p, q) < bound)[:k]
+        want += [(name, other, round(d, 9), n) for n, (d, other) in enumerate(found, 1)]
+    assert sorted(((x.a_id, x.b_id, round(x.distance, 9), x["rank"]) for x in got), key=str) == sorted(want, key=str)
