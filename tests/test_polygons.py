@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,10 @@ def test_pair_lines(spark):
     assert [r.line for r in files.pair_lines(df, "2:1,1:2,1:5").collect()] == ["3\t2\t"]
     with pytest.raises(ValueError):
         files.pair_lines(df, "3:1")
+
+
+def test_distances_of_many_segments_are_those_of_each():
+    r = np.random.default_rng(4)
+    p, a, b = (np.round(r.random((300, 2)) * 6) for _ in range(3))
+    got = polygons.segment_distances(p, a, b)
+    assert np.allclose(got, [shapes.segment_distance(*x) for x in zip(p.tolist(), a.tolist(), b.tolist(), strict=True)], atol=1e-12)
