@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tesselle.functions import polygons, shapes
-from tesselle.operators import polygon_join, reconstruction, regions
+from tesselle.operators import polygon_join, reconstruction, regions, tiles
 from tesselle.sources import files
 
 ELL = [(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4), (0, 0)]
@@ -157,3 +158,53 @@ def test_distances_of_many_segments_are_those_of_each():
     p, a, b = (np.round(r.random((300, 2)) * 6) for _ in range(3))
     got = polygons.segment_distances(p, a, b)
     assert np.allclose(got, [shapes.segment_distance(*x) for x in zip(p.tolist(), a.tolist(), b.tolist(), strict=True)], atol=1e-12)
+
+
+def test_rectangles_make_up_rings_and_their_holes():
+    r = random.Random(8)
+    for _ in range(100):
+        ring, cells = rectilinear(r)
+        inner = min(cells)
+        holes = [[(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)] for x, y in [inner]] if r.random() < 0.5 else []
+        rects = polygons.rectangles([polygons.opened(x) for x in (ring, *holes)])
+        found = [(x, y) for x0, y0, x1, y1 in rects for x in range(x0, x1) for y in range(y0, y1)]
+        assert len(found) == len(set(found)) and set(found) == cells - ({inner} if holes else set())
+    assert polygons.touches_itself(polygons.opened([(0, 0), (4, 0), (4, 4), (2, 4), (2, 0), (1, 0), (1, 4), (0, 4)]))
+    assert not polygons.touches_itself(polygons.opened(COMB))
+
+
+def test_rectangles_and_slanted_polygons_are_cut_once_and_meet(spark):
+    """Staircases are cut into rectangles without ear clipping, and meet each other, triangles and flat rings; null ids stay."""
+    r = random.Random(9)
+    some = lambda k: [(float(x), float(y)) for x, y in rectilinear(r)[0]] if k % 3 else [(float(x := r.randrange(9)), float(y := r.randrange(9))), (x + 1.0 + r.randrange(4), y + 0.0), (x + 0.5, y + 1.0 + r.randrange(5))]
+    a, b = ([(k, some(k)) for k in range(40)] for _ in range(2))
+    b += [(40, [(3.0, 3.0), (5.0, 4.0)]), (None, a[1][1])]
+    frame = lambda side: spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in ring]) for k, ring in side], "id long, ring array<struct<x:double,y:double>>")
+    cut = polygon_join.pieces(frame(a)).collect()
+    assert {x.id: (len(x.rects) > 0, len(x.parts) > 0) for x in cut} == {k: (k % 3 > 0, k % 3 == 0) for k in range(40)}
+    want = {}
+    for k, one in a:
+        for j, two in b:
+            p, q = polygons.triangles(one), polygons.triangles(two)
+            gap = 0.0 if polygons.intersects(p, q) else polygons.ring_distance(polygons.opened(one), polygons.opened(two))
+            if gap <= 1.5:
+                want[k, j] = (round(polygons.intersection_area(p, q), 9), round(gap, 9))
+    got = polygon_join.polygon_join(frame(a), frame(b), "st_dwithin", 1.5).collect()
+    assert len(got) == len(want) and {(x.id1, x.id2): (round(x.intersect_area, 9), round(x.distance, 9)) for x in got} == want
+    assert {(x.id1, x.id2) for x in polygon_join.polygon_pairs(frame(a), frame(b), "st_dwithin", 1.5).collect()} == set(want)
+    same = polygon_join.measures(frame(a), frame(b), 1.5, wanted=lambda meets, inter, *_: inter < 0)
+    assert same.count() == 0
+
+
+def test_a_task_gives_its_pairs_in_batches(spark):
+    """200 points on 200 in one spot: what a call gives one after the other is all there, whatever the parts."""
+    rows = [(k, 1.0, 1.0, 1.0, 1.0) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+
+    def run(left: pa.Table, right: pa.Table):
+        for k in left["id"].to_pylist():
+            yield pa.RecordBatch.from_pydict({"u": pa.array([k] * len(right), pa.int64()), "v": right["id"].combine_chunks(), "n": pa.array([len(left)] * len(right), pa.int64())})
+
+    got = tiles.streamed_in_tiles(df, df, 0.0, run, "u long, v long, n long", (30, 50)).collect()
+    assert len(got) == 40_000 == len({(x.u, x.v) for x in got}) and max(x.n for x in got) < 60
+    assert tiles.streamed_in_tiles(df, df.limit(0), 0.0, run, "u long, v long, n long").count() == 0
