@@ -191,3 +191,19 @@ def test_nearest_of_uneven_boxes(spark, k, bound):
         found = sorted((gap(p, q), q[0]) for p in a if p[0] == name for q in b if gap(p, q) < bound)[:k]
         want += [(name, other, round(d, 9), n) for n, (d, other) in enumerate(found, 1)]
     assert sorted(((x.a_id, x.b_id, round(x.distance, 9), x["rank"]) for x in got), key=str) == sorted(want, key=str)
+
+
+def test_tasks_grow_in_number_and_not_in_length_with_copies_of_a_table(spark):
+    """Copies of a table in the same space make pairs with the square of their number; a task's candidates stay as many."""
+    r = random.Random(31)
+    rows = [(k, x := r.random() * 1000, y := r.random() * 1000, x + 1 + r.random() * 6, y + 1 + r.random() * 4) for k in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    e = sj.extents(df, df, 0.0)
+    tasks = []
+    for copies in (60, 600, 3600):
+        side = {k: sj.Extent(x.n * copies, x.most, tuple(t * copies for t in x.total)) for k, x in e.a.items()}
+        grids = [*sj._grids(side, side, e, False, None), *sj._grids(side, side, e, True, None)]
+        candidates = sum(g.candidates for g in grids)
+        tasks.append(sj.partitions(df, sum(g.copies for g in grids), candidates))
+        assert candidates / tasks[-1] <= 8_000_000
+    assert tasks[0] < tasks[1] < tasks[2]
